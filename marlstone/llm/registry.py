@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, language_id, mixing, toxicity
+from marlstone.llm import bpe, language_id, mixing, ngram_jaccard, toxicity
 from marlstone.llm.storage import Scratch, prepare
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +37,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, profiles).select("doc_id", "held_out", "lang_pred", "score", "distance")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_jaccard.similar_documents(docs, Scratch(spark, "jaccard"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
@@ -65,6 +71,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_bpe": op3_bpe,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
