@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, language_id, mixing, ngram_jaccard, toxicity
+from marlstone.llm import bpe, exact_topk, language_id, mixing, ngram_jaccard, toxicity
 from marlstone.llm.storage import Scratch, prepare
 
 WORD_BPE = "word_bpe_49k.json"
@@ -63,6 +63,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(rows).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk.top_k(rows, F.col("vec_id") % 50 == 0, 5, Scratch(spark, "exact-topk"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, scratch=Scratch(spark, "mixing"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_bpe": op3_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_exact_topk": op6_exact_topk,
     "op7_mixing": op7_mixing,
 }
 
