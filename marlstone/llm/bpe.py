@@ -24,29 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.memo import Memo
+
 _NONE = np.int32(2**31 - 1)
 _BLOCK_SYMBOLS = 64
 _BLOCK_WORDS = 16384
-MEMO_PIECES = 300_000
-
-
-class Memo:
-    """A bounded memo in two generations: what is used again outlives the young generation."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Bring known keys into the young generation and return the unknown ones."""
-        if len(self.young) + len(keys) > self.limit:
-            self.old, self.young = self.young, {}
-        rest = []
-        for k in keys.difference(self.young):
-            if (v := self.old.get(k)) is None:
-                rest.append(k)
-            else:
-                self.young[k] = v
-        return rest
+MEMO_WORDS = 300_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -83,7 +66,7 @@ class WordBpe:
         (split,) = (p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo = Memo(MEMO_PIECES)
+        self.memo = Memo(MEMO_WORDS)
 
     # ----- text to pre-tokens
 
