@@ -41,13 +41,14 @@ class Scratch:
     """The intermediate tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return what was written."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
