@@ -39,7 +39,8 @@ def ingest(spark: SparkSession, vault: str, store: Store, routes: DataFrame, rul
     differences = ledger.diff(notes, known)
     if dry_run:
         return differences
-    found = differences.persist()
+    tables.replace(differences, store.last_diff)  # what this run does, whatever it changes on the way
+    found = spark.read.schema(differences.schema).parquet(store.last_diff)
     work = found.where("status in ('new', 'changed')").select("rel_path")
     routed = ledger.route(notes.join(work, "rel_path", "left_semi"), routes, rules, default)
     fresh = chunks_of(routed, as_of)

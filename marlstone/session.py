@@ -36,3 +36,7 @@ class Store:
     @property
     def timeline(self) -> str:
         return f"{self.root}/timeline"
+
+    @property
+    def last_diff(self) -> str:
+        return f"{self.root}/last_diff"
