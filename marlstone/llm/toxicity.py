@@ -33,8 +33,8 @@ LEXICON_SPECIES = ("word", "stem")
 SECOND_PERSON = frozenset(
     "you your yours yourself yourselves u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer tú ti usted ustedes vosotros tus su sus".split()
 )
-# fixed values: characters that stand for letters in disguised words
-DISGUISE = str.maketrans("013457@$!|", "oleastasil")
+# fixed values: characters that stand for letters in disguised words; a one may be an l or an i
+DISGUISES = (str.maketrans("013457@$!|", "oleastasil"), str.maketrans("013457@$!|", "oieastasil"))
 
 FEATURES = ("word_hits", "word_strength", "word_density", "word_peak", "stem_hits", "stem_strength", "stem_density", "stem_peak", "hidden_hits", "hidden_rate", "near_second_person", "second_person", "capitals", "shouted", "punctuation", "exclamations", "disguised", "log_words")
 
@@ -58,8 +58,7 @@ def features(text: str | None, words: dict[str, float], stems: dict[str, float])
     tangled = _TANGLED.findall(low)
     hidden = 0
     for t in tangled:
-        plain = _NOT_LETTER.sub("", t)
-        hidden += plain in words or _NOT_LETTER.sub("", t.translate(DISGUISE)) in words
+        hidden += any(_NOT_LETTER.sub("", x) in words for x in (t, *(t.translate(d) for d in DISGUISES)))
     shouted = sum(t.isupper() and len(t) > 2 for t in _WORD.findall(text)) if any(map(str.isupper, text)) else 0
     return [
         np.log1p(len(by_word)), np.log1p(sum(word_odds)), sum(word_odds) / n, max(word_odds, default=0.0),
