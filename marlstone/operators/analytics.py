@@ -99,3 +99,19 @@ def roll_up(probes: DataFrame, by: str) -> DataFrame:
     """Health of each group of probes: the worst result decides."""
     worst = F.max(severity(F.col("status")))
     return probes.groupBy(by).agg(F.count(F.lit(1)).alias("probes"), F.when(worst >= 2, "critical").when(worst == 1, "warning").otherwise("healthy").alias("health"))
+
+
+def briefing(df: DataFrame, as_of: Column, most: int = 5) -> DataFrame:
+    """One row with the text of a briefing: totals, the last week, and its most active sources."""
+    week = today_and_week(df, as_of)
+    totals = df.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("source").alias("sources"))
+    active = recent(df, as_of).orderBy(F.desc("n"), "source").limit(most)
+    lines = active.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "source", "n"))).alias("a"))
+    named = F.array_join(F.transform("a", lambda x: F.concat(x["source"].cast("string"), F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
+    rows = totals.crossJoin(week).crossJoin(lines)  # one row each
+    return rows.select(
+        F.concat_ws(
+            " | ", F.format_string("%d rows from %d sources", "total", "sources"), F.format_string("today %d, week %d rows from %d sources", "today_rows", "week_rows", "week_sources"),
+            F.when(F.size("a") > 0, F.concat(F.lit("most active: "), named)),
+        ).alias("briefing")
+    )

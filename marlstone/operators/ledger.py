@@ -64,3 +64,8 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, key: str) -> tuple[DataF
 def first_of_content(df: DataFrame, text: str, key: str) -> DataFrame:
     """``content_hash, first_id, copies`` of every distinct text."""
     return df.groupBy(F.substring(F.md5(F.col(text).cast("binary")), 1, 12).alias("content_hash")).agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def purge(table: DataFrame, kind: str) -> DataFrame:
+    """The table without the rows of one type; rows without a type stay."""
+    return table.where(~F.coalesce(F.col("type") == kind, F.lit(False)))

@@ -61,10 +61,10 @@ def dense_topk(spark, d):
     return retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 30)
 
 
-@query(f"with {_DENSE} select query_id, rank, id, round(1 - distance / 2, 6) as similarity from dense_ranked where rank <= 5")
+@query(f"with {_DENSE} select query_id, rank, id, round(1 - distance / 2, 7) as similarity from dense_ranked where rank <= 5")
 def dense_topk_similarity(spark, d):
     top = retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 5)
-    return top.select("query_id", "rank", "id", F.round(vec.similarity(F.col("distance")), 6).alias("similarity"))
+    return top.select("query_id", "rank", "id", F.round(vec.similarity(F.col("distance")), 7).alias("similarity"))
 
 
 @query(f"with {_DENSE} select count(*) as n, min(distance) as min_distance, round(max(distance), 6) as max_distance, round(avg(distance), 5) as mean_distance, case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from dense_ranked where rank <= 30")
@@ -529,9 +529,9 @@ def related_concepts(spark, d):
     return graph.related(_edges(spark, d))
 
 
-@query(f"with {_LINKS} select concept_id, concept_name from graph where contains(concept_id, '12') or contains(lower(concept_name), '12') order by (concept_id <> '12')::int, concept_id limit 20")
+@query(f"with {_LINKS} select concept_id, concept_name from graph where contains(concept_id, 'the') or contains(lower(concept_name), 'the') order by (concept_id <> 'the')::int, concept_id limit 20")
 def concept_search(spark, d):
-    return graph.search(graph.concepts(_edges(spark, d)), "12", 20).select("concept_id", "concept_name")
+    return graph.search(graph.concepts(_edges(spark, d)), "the", 20).select("concept_id", "concept_name")
 
 
 @query(f"with {_LINKS} select concept_id, concept_name, total_mentions from graph order by total_mentions desc, concept_id limit 10")
@@ -752,3 +752,48 @@ def event_windows(spark, d):
     from marlstone.streaming.windows import daily_counts
 
     return daily_counts(_read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(f"""with {_CHUNKS}, w as (select * from chunks where ts >= timestamp '{_AS_OF}' - interval 7 day),
+top as (select source, count(*) as n from w group by source order by n desc, source limit 5)
+select (select count(*) from chunks) || ' rows from ' || (select count(distinct source) from chunks) || ' sources | today ' || (select count(*) from w where ts >= timestamp '{_AS_OF}') || ', week ' || (select count(*) from w)
+  || ' rows from ' || (select count(distinct source) from w) || ' sources | most active: ' || (select string_agg(source || ' (' || n || ')', ', ' order by n desc, source) from top) as briefing""")
+def briefing_text(spark, d):
+    return analytics.briefing(_orders(spark, d), _now())
+
+
+@query(f"with {_CHUNKS} select source, count(*) as n from chunks where type is distinct from 'F' group by source")
+def purge_by_type(spark, d):
+    return ledger.purge(_orders(spark, d), "F").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_LINKS} select concept_id, concept_name from graph where contains(concept_id, 'der') or contains(lower(concept_name), 'der') order by (concept_id <> 'der')::int, concept_id limit 1")
+def concept_lookup(spark, d):
+    return graph.lookup(graph.concepts(_edges(spark, d)), "der").select("concept_id", "concept_name")
+
+
+@query(f"with {_DENSE}, top as (select * from dense_ranked where rank <= 30), m as (select case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from top) select query_id, id, metric, round(case metric when 'cosine' then 1 - distance / 2 when 'ip' then 1 - distance else 1 / (1 + distance) end, 7) as similarity from top, m")
+def metric_similarity(spark, d):
+    top = dense_topk(spark, d)
+    metric = retrieval.metric_of(top).select("metric")
+    return top.crossJoin(F.broadcast(metric)).select("query_id", "id", "metric", F.round(retrieval.similarity_by_metric(F.col("distance"), F.col("metric")), 7).alias("similarity"))
+
+
+
+
+@query(f"select doc_id, 'N' || doc_id as title, coalesce(lang, 'none') as lang, 'H' || doc_id as heading, length('# H' || doc_id || chr(10) || left(text, 60)) as body_length from documents")
+def note_front_matter(spark, d):
+    """Front matter, title and body of notes made of the documents."""
+    note = F.concat(F.lit("---\ntitle: \""), F.lit("N"), F.col("doc_id").cast("string"), F.lit("\"\nlang: "), F.coalesce("lang", F.lit("none")), F.lit("\n---\n# H"), F.col("doc_id").cast("string"), F.lit("\n"), F.expr("left(text, 60)"))
+    rows = _read(spark, d, "documents").select("doc_id", note.alias("note")).select("doc_id", tx.front_matter(F.col("note")).alias("meta"), tx.body(F.col("note")).alias("body"))
+    return rows.select("doc_id", F.col("meta")["title"].alias("title"), F.col("meta")["lang"].alias("lang"), tx.title(F.col("body"), F.lit("")).alias("heading"), F.length("body").cast("long").alias("body_length"))
+
+
+@query("select page_id, case when len(links) > 0 then chr(10) || '[交叉引用: ' || array_to_string(links[1:10], ', ') || ']' else '' end as suffix from (select page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) as links from pages)")
+def cross_references(spark, d):
+    return _read(spark, d, "pages").select("page_id", tx.cross_references(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("suffix"))
+
+
+@query("select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0 as has_length from embeddings where vec_id = 7")
+def point_lookup(spark, d):
+    return _read(spark, d, "embeddings").where("vec_id = 7").select("vec_id", "label", (vec.norm(F.col("embedding")) > 0).alias("has_length"))
