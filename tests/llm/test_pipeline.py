@@ -92,3 +92,18 @@ def test_pipeline(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in coded)
+
+
+def test_rows_without_or_with_shared_ids_stay(spark, tmp_path):
+    """Stages decide by row: nothing clean goes for its id, and columns named like a model's output pass."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b").upper()), (5, text("c")), (5, text("d")), (6, text("d") + " more"), (7, text("e")), (7, text("e")), (8, text("e"))]
+    docs = spark.createDataFrame([(*r, "en", "src0", 0.25) for r in rows], "doc_id long, text string, lang string, source string, score double")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), str(tmp_path))
+    seen = sorted((r.doc_id or 0, r.text.split()[0].lower()) for r in kept.collect())
+    assert kept.columns == docs.columns and seen == [(0, "a0"), (0, "b0"), (5, "c0"), (5, "d0"), (7, "e0")]
+    mixed = [(r.doc_id or 0, r.text.split()[0]) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()]
+    assert 1.5 * 9 - 1 <= len(mixed) <= 1.5 * 9 + 1 and max(map(mixed.count, mixed)) <= 4  # two of each row, (7, e) is there twice
+    assert {(0, "a0"), (0, "b0"), (5, "c0"), (5, "d0")} <= set(mixed)
+    docs.select(docs.doc_id, "text").where("doc_id is not null").selectExpr("doc_id", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.score for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {0.25}
