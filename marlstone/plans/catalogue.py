@@ -3,11 +3,15 @@
 ``QUERIES`` maps a name to a function of (spark, directory); ``ORACLE_SQL`` maps names to
 DuckDB SQL over the same tables.  The definitions of queries that need a stand-in for the
 engine's own tables (links, chunks, ledger) are at the top of each section.
+
+Some queries restrict their rows, and so does their SQL.  ``NAME_whole`` is the same query
+without the restriction, with SQL of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +37,28 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def whole(*by: tuple[str, str], **arguments):
+    """Also register the query as ``NAME_whole``: with other arguments, and its SQL with other parts."""
+
+    def register(f):
+        sql = ORACLE_SQL.get(f.__name__)
+        for old, new in by if sql else ():
+            if old not in sql:
+                raise ValueError(f"{f.__name__}: its SQL has no {old}")
+            sql = sql.replace(old, new)
+        return query(sql, f"{f.__name__}_whole")(partial(f, **arguments)) and f
+
+    return register
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# ----- dense retrieval: the first 20 embeddings ask all of them
+# ----- dense retrieval: the first 20 embeddings ask all of them, or every twentieth by its id
+
+_FIRST, _TWENTIETH = "{} < 20", "{} % 20 = 0"
+_ASK_ALL = whole(("vec_id < 20", "vec_id % 20 = 0"), asked=_TWENTIETH)
 
 _DENSE = """
 dense_all as (
@@ -48,30 +69,34 @@ dense_all as (
 dense_ranked as (select *, row_number() over (partition by query_id order by distance, id) as rank from dense_all)"""
 
 
-def _dense_queries(spark, d):
-    return _read(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _dense_queries(spark, d, asked=_FIRST):
+    return _read(spark, d, "embeddings").where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _dense_corpus(spark, d):
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+@_ASK_ALL
 @query(f"with {_DENSE} select query_id, rank, id, distance from dense_ranked where rank <= 30")
-def dense_topk(spark, d):
-    return retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 30)
+def dense_topk(spark, d, asked=_FIRST):
+    return retrieval.dense_topk(_dense_queries(spark, d, asked), _dense_corpus(spark, d), 30)
 
 
+@_ASK_ALL
 @query(f"with {_DENSE} select query_id, rank, id, round(1 - distance / 2, 7) as similarity from dense_ranked where rank <= 5")
-def dense_topk_similarity(spark, d):
-    top = retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 5)
+def dense_topk_similarity(spark, d, asked=_FIRST):
+    top = retrieval.dense_topk(_dense_queries(spark, d, asked), _dense_corpus(spark, d), 5)
     return top.select("query_id", "rank", "id", F.round(vec.similarity(F.col("distance")), 7).alias("similarity"))
 
 
+@_ASK_ALL
 @query(f"with {_DENSE} select count(*) as n, min(distance) as min_distance, round(max(distance), 6) as max_distance, round(avg(distance), 5) as mean_distance, case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from dense_ranked where rank <= 30")
-def dense_distance_summary(spark, d):
-    return retrieval.metric_of(dense_topk(spark, d))
+def dense_distance_summary(spark, d, asked=_FIRST):
+    return retrieval.metric_of(dense_topk(spark, d, asked))
 
 
+@_ASK_ALL
 @query("""
 select q.vec_id as query_id, c.vec_id as id, round((
   select avg(greatest(0, best)) from (
@@ -80,9 +105,9 @@ select q.vec_id as query_id, c.vec_id as id, round((
       from range(4) t(i), range(4) u(j)) group by i)), 6) as score
 from embeddings q join embeddings c on q.label = c.label where q.vec_id < 20
 """)
-def maxsim(spark, d):
+def maxsim(spark, d, asked=_FIRST):
     e = _read(spark, d, "embeddings").select("vec_id", "label", vec.token_vectors(F.col("embedding"), 4).alias("v"))
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
+    asked = e.where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
     return asked.join(e.withColumnRenamed("vec_id", "id"), "label").select("query_id", "id", vec.max_sim(F.col("q"), F.col("v")).alias("score"))
 
 
@@ -316,52 +341,63 @@ fused as materialized (
 ranked as (select *, row_number() over (partition by query_id order by score desc, pool_pos) as rank from fused)"""
 
 
-def _hybrid(spark, d):
+_ASK_HYBRID = whole(("corpus where id < 20", "corpus where id % 20 = 0"), asked=_TWENTIETH)
+
+
+def _hybrid(spark, d, asked=_FIRST):
     corpus = _read(spark, d, "embeddings").join(_read(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "text")
-    return corpus.where("id < 20").select(F.col("id").alias("query_id"), "vector", "text"), corpus
+    return corpus.where(asked.format("id")).select(F.col("id").alias("query_id"), "vector", "text"), corpus
 
 
+@_ASK_HYBRID
 @query(f"with {_HYBRID} select query_id, id, sparse_score, colbert_score, rrf, score from fused")
-def hybrid_fuse(spark, d):
-    return search.hybrid_pool(*_hybrid(spark, d), 5).select("query_id", "id", "sparse_score", "colbert_score", "rrf", "score")
+def hybrid_fuse(spark, d, asked=_FIRST):
+    return search.hybrid_pool(*_hybrid(spark, d, asked), 5).select("query_id", "id", "sparse_score", "colbert_score", "rrf", "score")
 
 
+@_ASK_HYBRID
 @query(f"with {_HYBRID} select query_id, rank, id, score from ranked where rank <= 5")
-def hybrid_topk(spark, d):
-    return fusion.ranked(search.hybrid_pool(*_hybrid(spark, d), 5), 5).select("query_id", "rank", "id", "score")
+def hybrid_topk(spark, d, asked=_FIRST):
+    return fusion.ranked(search.hybrid_pool(*_hybrid(spark, d, asked), 5), 5).select("query_id", "rank", "id", "score")
 
 
+@_ASK_HYBRID
 @query(f"with {_HYBRID} select query_id, id, score, case when distance >= 0 then round(1 - distance / 2, 6) end as similarity, score >= 0.3 and coalesce(distance >= 0 and round(1 - distance / 2, 6) >= 0.55, false) as confidence_ok from ranked where rank = 1")
-def confidence_gate(spark, d):
-    return fusion.confidence_gate(fusion.ranked(search.hybrid_pool(*_hybrid(spark, d), 5), 1))
+def confidence_gate(spark, d, asked=_FIRST):
+    return fusion.confidence_gate(fusion.ranked(search.hybrid_pool(*_hybrid(spark, d, asked), 5), 1))
 
 
+@_ASK_HYBRID
 @query(f"""with {_HYBRID}, a as (select query_id, list(id) as a, min_by(id, rank) as fa from dense where rank <= 5 group by query_id), b as (select query_id, list(id) as b, min_by(id, rank) as fb from ranked where rank <= 5 group by query_id)
 select query_id, len(list_intersect(a, b)) as overlap, fa <> fb as top1_changed from a join b using (query_id)""")
-def compare_dense_hybrid(spark, d):
-    queries, corpus = _hybrid(spark, d)
+def compare_dense_hybrid(spark, d, asked=_FIRST):
+    queries, corpus = _hybrid(spark, d, asked)
     dense = retrieval.dense_topk(queries.select("query_id", "vector"), corpus.select("id", "vector"), 5)
     return fusion.compare_rankings(dense, fusion.ranked(search.hybrid_pool(queries, corpus, 5), 5), 5)
 
 
+@_ASK_HYBRID
 @query()
-def mmr_rerank(spark, d):
-    return fusion.diversify(search.hybrid_pool(*_hybrid(spark, d), 5), 5)
+def mmr_rerank(spark, d, asked=_FIRST):
+    return fusion.diversify(search.hybrid_pool(*_hybrid(spark, d, asked), 5), 5)
 
 
+@_ASK_HYBRID
 @query()
-def hybrid_search(spark, d):
-    return search.search(*_hybrid(spark, d), 5)
+def hybrid_search(spark, d, asked=_FIRST):
+    return search.search(*_hybrid(spark, d, asked), 5)
 
 
+@_ASK_ALL
 @query(f"with {_DENSE} select query_id, id, round(1 / (60 + rank), 8) as rrf from dense_ranked where rank <= 30")
-def rrf_single(spark, d):
-    return dense_topk(spark, d).select("query_id", "id", F.round(fusion.reciprocal_rank(F.col("rank")), 8).alias("rrf"))
+def rrf_single(spark, d, asked=_FIRST):
+    return dense_topk(spark, d, asked).select("query_id", "id", F.round(fusion.reciprocal_rank(F.col("rank")), 8).alias("rrf"))
 
 
+@_ASK_ALL
 @query(f"with {_DENSE}, top as (select * from dense_ranked where rank <= 30), w as (select *, min(distance) over (partition by query_id) as lo, max(distance) over (partition by query_id) as hi from top) select query_id, id, round(case when hi > lo then (distance - lo) / (hi - lo) else (distance > 0)::int end, 6) as calibrated from w")
-def calibrate_minmax(spark, d):
-    return dense_topk(spark, d).select("query_id", "id", F.round(fusion.calibrated(F.col("distance")), 6).alias("calibrated"))
+def calibrate_minmax(spark, d, asked=_FIRST):
+    return dense_topk(spark, d, asked).select("query_id", "id", F.round(fusion.calibrated(F.col("distance")), 6).alias("calibrated"))
 
 
 # ----- chunks
@@ -772,9 +808,10 @@ def concept_lookup(spark, d):
     return graph.lookup(graph.concepts(_edges(spark, d)), "der").select("concept_id", "concept_name")
 
 
+@_ASK_ALL
 @query(f"with {_DENSE}, top as (select * from dense_ranked where rank <= 30), m as (select case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from top) select query_id, id, metric, round(case metric when 'cosine' then 1 - distance / 2 when 'ip' then 1 - distance else 1 / (1 + distance) end, 7) as similarity from top, m")
-def metric_similarity(spark, d):
-    top = dense_topk(spark, d)
+def metric_similarity(spark, d, asked=_FIRST):
+    top = dense_topk(spark, d, asked)
     metric = retrieval.metric_of(top).select("metric")
     return top.crossJoin(F.broadcast(metric)).select("query_id", "id", "metric", F.round(retrieval.similarity_by_metric(F.col("distance"), F.col("metric")), 7).alias("similarity"))
 
