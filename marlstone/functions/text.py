@@ -67,11 +67,23 @@ def adaptive_weights(text: Column) -> Column:
     )
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, the value taken once and not again for every element that a lambda in it visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lexicon(tokens: Column) -> Column:
-    """Map of token to its share of all tokens, for short texts; ``sparse.postings`` does it for tables."""
-    n = F.size(tokens)
-    distinct = F.array_distinct(tokens)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda t: F.round(F.size(F.filter(tokens, lambda u: u == t)) / n, 6)))
+    """Map of token to its share of all tokens, in order of first places; one sort, so for texts of any length."""
+
+    def shares(s: Column) -> Column:  # ascending by token and place
+        placed = F.transform(s, lambda x, i: F.struct(x["token"].alias("token"), x["first"].alias("first"), i.alias("at")))
+        starts = F.filter(placed, lambda x, i: (i == 0) | (x["token"] != F.get(s, i - 1)["token"]))
+        n = lambda b, x, j: F.coalesce(F.get(b, j + 1)["at"], F.size(s)) - x["at"]
+        counts = _bound(starts, lambda b: F.transform(b, lambda x, j: F.struct(x["first"].alias("first"), x["token"].alias("token"), n(b, x, j).alias("n"))))
+        return F.transform(F.array_sort(counts), lambda x: F.struct(x["token"].alias("key"), F.round(x["n"] / F.size(s), 6).alias("value")))
+
+    ordered = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("first"))))
+    return F.map_from_entries(_bound(ordered, shares))
 
 
 def multi_vector_tokens(tokens: Column) -> Column:

@@ -759,12 +759,15 @@ def vector_completeness(spark, d):
     return analytics.completeness(rows.select(F.col("quality").alias("sparse"), F.when(F.col("source") != "src1", F.lit(1)).alias("colbert")), "sparse", "colbert")
 
 
+@whole((" where length(text) < 500", ""), rows="true")
 @query(f"select d.doc_id, l.doc_id is null as filled, len(list_distinct({_tokens('text')})) as n_entries from documents d left join labels l using (doc_id) where length(text) < 500")
-def backfill(spark, d):
-    rows = _read(spark, d, "documents").where("length(text) < 500").join(_read(spark, d, "labels").select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+def backfill(spark, d, rows="length(text) < 500"):
     sparse = tx.hybrid_metadata(F.col("text"))["sparse_lexicon"]
     entries = F.size(F.map_keys(F.from_json(sparse, "map<string,double>")))
-    return rows.select("doc_id", F.col("known").isNull().alias("filled"), entries.cast("long").alias("n_entries"))
+    # counted before the join, so that no text is shuffled
+    counted = _read(spark, d, "documents").where(rows).select("doc_id", entries.cast("long").alias("n_entries"))
+    known = _read(spark, d, "labels").select("doc_id", F.lit(True).alias("known"))
+    return counted.join(known, "doc_id", "left").select("doc_id", F.col("known").isNull().alias("filled"), "n_entries")
 
 
 @query("select conv_id, row_number() over (partition by conv_id order by turn, role, text) as seq, turn, role, left(md5(text), 8) as source_hash from conversations")

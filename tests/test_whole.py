@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marlstone.functions import text as tx
 from marlstone.operators import retrieval
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +51,17 @@ def test_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "CORPUS_SLICES", 3)
     like_sql(spark, "dense_topk_whole")
     like_sql(spark, "dense_distance_summary_whole")
+
+
+def test_backfill_has_long_documents(spark):
+    got = like_sql(spark, "backfill_whole")
+    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_lexicon_of_a_long_text(spark):
+    """One sort: 60 000 different tokens would take 60 000 passes over all of them."""
+    words = [f"w{i}" for i in range(60_000)] + ["w7", "w3", "w7"]
+    df = spark.createDataFrame([(" ".join(words),), ("bb aa bb",), (None,)], "text string").select(tx.lexicon(tx.tokenize("text")).alias("m"))
+    big, small, none = (r.m for r in df.collect())
+    assert len(big) == 60_000 and big["w7"] == round(3 / len(words), 6)
+    assert list(small.items()) == [("bb", 0.666667), ("aa", 0.333333)] and none == {}
