@@ -184,9 +184,10 @@ weights as (select id, case
     when length_factor > 0.6 then [0.55, 0.20, 0.25] else [0.40, 0.35, 0.25] end as w from complexity)"""
 
 
+@whole(("left(text, 12 + item_id % 60)", "text"), short="text")
 @query(f"with {_complexity('item_id', _SHORT)}, {_WEIGHTS} select id as item_id, w[1]::double as dense, w[2]::double as sparse, w[3]::double as colbert from weights")
-def adaptive_weights(spark, d):
-    short = _read(spark, d, "benchmark").select("item_id", F.expr("left(text, cast(12 + item_id % 60 as int))").alias("text"))
+def adaptive_weights(spark, d, short="left(text, cast(12 + item_id % 60 as int))"):
+    short = _read(spark, d, "benchmark").select("item_id", F.expr(short).alias("text"))
     return short.select("item_id", tx.adaptive_weights(F.col("text")).alias("w")).select("item_id", "w.*")
 
 
@@ -228,6 +229,8 @@ def snippet(spark, d):
 # Markdown around a document's words, the same on both sides
 _DECORATED = r"'# T' || doc_id || chr(10) || chr(10) || '**' || left(text, 40) || '** [[p' || (doc_id % 7) || '|alias]] [[q#h]] ![i](u.png) [l](x.md) <b>x</b> `c`' || chr(10) || '- ' || substr(text, 41, 80)"
 _DECORATED_SPARK = "concat('# T', doc_id, '\n\n**', left(text, 40), '** [[p', doc_id % 7, '|alias]] [[q#h]] ![i](u.png) [l](x.md) <b>x</b> `c`\n- ', substring(text, 41, 80))"
+_WHOLE_SPARK = _DECORATED_SPARK.replace("left(text, 40)", "text").replace("substring(text, 41, 80)", "text")
+_DECORATE_ALL = whole(("left(text, 40)", "text"), ("substr(text, 41, 80)", "text"), md=_WHOLE_SPARK)
 _CONVERTED = r"regexp_replace(regexp_replace(regexp_replace({c}, '\[\[([^\]|]*)\|([^\]|]*)(?:\|[^\]]*)?\]\]', '\2', 'g'), '\[\[([^\]#]*)#([^\]#]*)(?:#[^\]]*)?\]\]', '\1 > \2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g')"
 
 
@@ -238,15 +241,17 @@ def _cleaned(c: str) -> str:
     return out
 
 
+@_DECORATE_ALL
 @query(f"select doc_id, {_CONVERTED.format(c='md')} as converted from (select doc_id, {_DECORATED} as md from documents)")
-def convert_wikilinks(spark, d):
-    md = _read(spark, d, "documents").select("doc_id", F.expr(_DECORATED_SPARK).alias("md"))
+def convert_wikilinks(spark, d, md=_DECORATED_SPARK):
+    md = _read(spark, d, "documents").select("doc_id", F.expr(md).alias("md"))
     return md.select("doc_id", tx.convert_wikilinks(F.col("md")).alias("converted"))
 
 
+@_DECORATE_ALL
 @query(f"select doc_id, {_cleaned('md')} as cleaned from (select doc_id, {_DECORATED} as md from documents)")
-def clean_markdown(spark, d):
-    md = _read(spark, d, "documents").select("doc_id", F.expr(_DECORATED_SPARK).alias("md"))
+def clean_markdown(spark, d, md=_DECORATED_SPARK):
+    md = _read(spark, d, "documents").select("doc_id", F.expr(md).alias("md"))
     return md.select("doc_id", tx.clean_markdown(F.col("md")).alias("cleaned"))
 
 
@@ -821,10 +826,11 @@ def metric_similarity(spark, d, asked=_FIRST):
 
 
 
+@whole(("left(text, 60)", "text"), text="text")
 @query(f"select doc_id, 'N' || doc_id as title, coalesce(lang, 'none') as lang, 'H' || doc_id as heading, length('# H' || doc_id || chr(10) || left(text, 60)) as body_length from documents")
-def note_front_matter(spark, d):
+def note_front_matter(spark, d, text="left(text, 60)"):
     """Front matter, title and body of notes made of the documents."""
-    note = F.concat(F.lit("---\ntitle: \""), F.lit("N"), F.col("doc_id").cast("string"), F.lit("\"\nlang: "), F.coalesce("lang", F.lit("none")), F.lit("\n---\n# H"), F.col("doc_id").cast("string"), F.lit("\n"), F.expr("left(text, 60)"))
+    note = F.concat(F.lit("---\ntitle: \""), F.lit("N"), F.col("doc_id").cast("string"), F.lit("\"\nlang: "), F.coalesce("lang", F.lit("none")), F.lit("\n---\n# H"), F.col("doc_id").cast("string"), F.lit("\n"), F.expr(text))
     rows = _read(spark, d, "documents").select("doc_id", note.alias("note")).select("doc_id", tx.front_matter(F.col("note")).alias("meta"), tx.body(F.col("note")).alias("body"))
     return rows.select("doc_id", F.col("meta")["title"].alias("title"), F.col("meta")["lang"].alias("lang"), tx.title(F.col("body"), F.lit("")).alias("heading"), F.length("body").cast("long").alias("body_length"))
 

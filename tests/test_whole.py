@@ -65,3 +65,14 @@ def test_lexicon_of_a_long_text(spark):
     big, small, none = (r.m for r in df.collect())
     assert len(big) == 60_000 and big["w7"] == round(3 / len(words), 6)
     assert list(small.items()) == [("bb", 0.666667), ("aa", 0.333333)] and none == {}
+
+
+@pytest.mark.parametrize(("name", "length"), [("clean_markdown", "cleaned"), ("convert_wikilinks", "converted")])
+def test_whole_texts_are_rewritten(spark, name, length):
+    got = like_sql(spark, f"{name}_whole")
+    assert got[length].str.len().max() > 1000
+
+
+def test_whole_texts_are_measured(spark):
+    assert like_sql(spark, "note_front_matter_whole")["body_length"].max() > 1000
+    like_sql(spark, "adaptive_weights_whole")
