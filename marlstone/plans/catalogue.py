@@ -594,6 +594,36 @@ def link_extraction(spark, d):
     return rows.select("page_id", "link.concept_id")
 
 
+_ANCHOR = r'(?s)<a [^>]*href="/?([^"]*)"[^>]*>(.*?)</a>'
+_LABEL_NOT = r"<[^>]+>|[\[\]]"
+
+
+def _plain(c: str) -> str:
+    return rf"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
+
+
+@query(rf"""
+with md as (
+  select page_id, array_to_string(list_transform(list_transform(regexp_extract_all(html, '{_ANCHOR}'),
+    lambda a: struct_pack(h := regexp_extract(a, '{_ANCHOR}', 1), l := regexp_replace(regexp_extract(a, '{_ANCHOR}', 2), '{_LABEL_NOT}', '', 'g'))),
+    lambda a: '[[' || a.h || '|' || a.l || ']] [' || a.l || '](' || a.h || ')'), ' ') as t from pages),
+w as (select page_id, unnest(regexp_extract_all(t, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]', 1)) as target from md),
+m as (select page_id, unnest(regexp_extract_all(t, '\[([^\]]*)\]\(([^)]+)\)')) as whole from md),
+l as (select page_id, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 1) as label, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 2) as target from m)
+select page_id, {_plain("target")} as concept_id from w where not starts_with(target, '.')
+union all select page_id, {_plain("case when label <> '' then label else target end")} from l where not regexp_matches(target, '^(http|#|\.)')
+""")
+def link_extraction_whole(spark, d):
+    """The links of Markdown into which the page's own anchors are rewritten, each as a wiki link and as ``[label](target)``."""
+    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
+    href = lambda a: F.regexp_extract(a, _ANCHOR, 1)
+    label = lambda a: F.regexp_replace(F.regexp_extract(a, _ANCHOR, 2), _LABEL_NOT, "")
+    link = lambda a: F.concat(F.lit("[["), href(a), F.lit("|"), label(a), F.lit("]] ["), label(a), F.lit("]("), href(a), F.lit(")"))
+    md = F.array_join(F.transform(anchors, link), " ")
+    rows = _read(spark, d, "pages").select("page_id", F.explode(tx.links(md)).alias("link"))
+    return rows.select("page_id", "link.concept_id")
+
+
 # The store holds what the pages with an id divisible by 5 mention; the graph comes from all pages.
 _STORE = f"""{_LINKS},
 store as (select concept_id, min(display) as concept_name, count(*) as mention_count, case when count(*) >= 8 then 2 when count(*) >= 3 then 1 else 0 end as enrichment_level,

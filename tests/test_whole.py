@@ -76,3 +76,11 @@ def test_whole_texts_are_rewritten(spark, name, length):
 def test_whole_texts_are_measured(spark):
     assert like_sql(spark, "note_front_matter_whole")["body_length"].max() > 1000
     like_sql(spark, "adaptive_weights_whole")
+
+
+def test_links_of_the_pages_own_anchors(spark, tmp_path):
+    assert len(like_sql(spark, "link_extraction_whole")) > 0
+    page = '<a class="n" href="/The">The <b>One</b></a> <a href="http://x.org/y">Out</a> <a href="p#h">\nq  r</a> <a href="">none</a>'
+    spark.createDataFrame([(1, "http://h/", page), (2, "http://h/", "no links")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = like_sql(spark, "link_extraction_whole", str(tmp_path))
+    assert sorted(got["concept_id"]) == ["http://x.org/y", "p", "q r", "the", "the one"]
