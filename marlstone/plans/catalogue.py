@@ -126,11 +126,12 @@ def token_stats(spark, d):
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
+@whole((" having count(distinct doc_id) > 5", ""), kept="true")
 @query(f"with t as (select doc_id, unnest({_tokens('text')}) as token from documents) select token, count(*) as n, count(distinct doc_id) as docs from t group by token having count(distinct doc_id) > 5")
-def token_frequencies(spark, d):
+def token_frequencies(spark, d, kept="docs > 5"):
     t = _read(spark, d, "documents").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
     per_doc = t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where("docs > 5")
+    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where(kept)
 
 
 _POSTINGS = """
@@ -146,10 +147,11 @@ def postings(spark, d):
     return retrieval.postings(_read(spark, d, "documents"), "doc_id", "text")
 
 
+@whole((" having count(*) > 10", ""), kept="true")
 @query(f"with {_DOC_POSTINGS} select token, count(*) as docs, round(sum(weight::decimal(12,6))::double, 2) as weight from postings group by token having count(*) > 10")
-def sparse_features(spark, d):
+def sparse_features(spark, d, kept="docs > 10"):
     p = retrieval.postings(_read(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(F.col("weight").cast("decimal(12,6)")).cast("double"), 2).alias("weight")).where("docs > 10")
+    return p.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(F.col("weight").cast("decimal(12,6)")).cast("double"), 2).alias("weight")).where(kept)
 
 
 _CLEAN = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
@@ -457,10 +459,12 @@ def dedup_exact(spark, d):
     return ledger.first_of_content(_read(spark, d, "documents"), "text", "doc_id")
 
 
+@whole(("doc_id % 3 = 0 and doc_id < 60", "source is not null and doc_id in (select doc_id from labels)"), known="labels")
 @query("select doc_id, source from documents where source not in (select source from documents where doc_id % 3 = 0 and doc_id < 60)")
-def anti_seen_source(spark, d):
+def anti_seen_source(spark, d, known=None):
     docs = _read(spark, d, "documents").select("doc_id", "source")
-    return ledger.unseen(docs, docs.where("doc_id % 3 = 0 and doc_id < 60"), "source")
+    seen = docs.join(_read(spark, d, known), "doc_id", "left_semi") if known else docs.where("doc_id % 3 = 0 and doc_id < 60")
+    return ledger.unseen(docs, seen, "source")
 
 
 @query("select doc_id, left(md5(text), 12) as hash from documents where doc_id % 2 = 1 and left(md5(text), 12) not in (select left(md5(text), 12) from documents where doc_id % 2 = 0)")
@@ -517,9 +521,10 @@ def route_files(spark, d):
     return routed.select("rel_path", "top_folder", "collection", F.coalesce("chunk_size", F.lit(0)).alias("chunk_size"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
+@whole(("doc_id % 4 = 0 and ", ""), offered="true")
 @query("select doc_id from documents where doc_id % 4 = 0 and doc_id not in (select doc_id from labels)")
-def insert_if_absent(spark, d):
-    rows = _read(spark, d, "documents").where("doc_id % 4 = 0").select("doc_id")
+def insert_if_absent(spark, d, offered="doc_id % 4 = 0"):
+    rows = _read(spark, d, "documents").where(offered).select("doc_id")
     return ledger.insert_if_absent(_read(spark, d, "labels").select("doc_id"), rows, "doc_id")[0]
 
 
@@ -664,14 +669,16 @@ def enrichment_queue(spark, d):
     return ferment.enrichment_queue(_reconciled(spark, d))
 
 
+@whole(("from store)", "from pages_now)"), table=_reconciled)
 @query(f"with {_STORE} select concept_id, age_days from (select *, floor((epoch_us(timestamp '2024-03-01') - epoch_us(last_seen)) / 86400000000)::bigint as age_days from store) where enrichment_level = 0 and age_days > 30")
-def orphan_cleanup(spark, d):
-    return ferment.stale_stubs(_store(spark, d), F.lit("2024-03-01").cast("timestamp")).select("concept_id", "age_days")
+def orphan_cleanup(spark, d, table=_store):
+    return ferment.stale_stubs(table(spark, d), F.lit("2024-03-01").cast("timestamp")).select("concept_id", "age_days")
 
 
+@whole(("avg_mentions from store", "avg_mentions from pages_now"), table=_reconciled)
 @query(f"with {_STORE} select count(*) filter (enrichment_level = 0) as stubs, count(*) filter (enrichment_level = 1) as basic, count(*) filter (enrichment_level = 2) as full, sum(mention_count)::bigint as total_mentions, max(mention_count) as max_mentions, round(avg(mention_count), 1) as avg_mentions from store")
-def level_distribution(spark, d):
-    return ferment.level_distribution(_store(spark, d))
+def level_distribution(spark, d, table=_store):
+    return ferment.level_distribution(table(spark, d))
 
 
 # A label of the embeddings is a concept; its lowest vector asks, documents give text and source.
@@ -870,6 +877,9 @@ def cross_references(spark, d):
     return _read(spark, d, "pages").select("page_id", tx.cross_references(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("suffix"))
 
 
+@whole(("vec_id = 7", "vec_id in (select doc_id from labels)"), asked="labels")
 @query("select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0 as has_length from embeddings where vec_id = 7")
-def point_lookup(spark, d):
-    return _read(spark, d, "embeddings").where("vec_id = 7").select("vec_id", "label", (vec.norm(F.col("embedding")) > 0).alias("has_length"))
+def point_lookup(spark, d, asked=None):
+    rows = _read(spark, d, "embeddings")
+    rows = rows.join(_read(spark, d, asked).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi") if asked else rows.where("vec_id = 7")
+    return rows.select("vec_id", "label", (vec.norm(F.col("embedding")) > 0).alias("has_length"))

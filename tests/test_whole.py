@@ -84,3 +84,21 @@ def test_links_of_the_pages_own_anchors(spark, tmp_path):
     spark.createDataFrame([(1, "http://h/", page), (2, "http://h/", "no links")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = like_sql(spark, "link_extraction_whole", str(tmp_path))
     assert sorted(got["concept_id"]) == ["http://x.org/y", "p", "q r", "the", "the one"]
+
+
+@pytest.mark.parametrize("name", ["token_frequencies", "sparse_features", "insert_if_absent", "orphan_cleanup", "level_distribution", "point_lookup"])
+def test_no_rows_go(spark, name):
+    got = like_sql(spark, f"{name}_whole")
+    if name in ("token_frequencies", "sparse_features"):
+        assert got["docs"].min() == 1
+    if name == "insert_if_absent":
+        assert set(got["doc_id"] % 4) == {0, 1, 2, 3}
+    if name == "point_lookup":
+        assert len(got) > 1
+
+
+def test_known_sources_come_from_a_table(spark, tmp_path):
+    docs = [(100 + i, f"s{i % 3}") for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(104, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert set(like_sql(spark, "anti_seen_source_whole", str(tmp_path))["source"]) == {"s0", "s2"}
