@@ -73,3 +73,20 @@ def test_ann_few_vectors(spark):
     got = ann.neighbours(df, F.col("vec_id") % 20 == 0, 20, Scratch(spark, "t")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in got][:4] == [(0, 7, 3.0), (0, 7, 3.0), (0, 20, 1.0), (0, 5, 0.0)]
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 20 == 0, 20, Scratch(spark, "t")).count() == 0
+
+
+def test_op10_recall_of_the_given_embeddings(spark):
+    """The registered parameters on the given vectors, which have unit length; the README has figures of others."""
+    from marlstone.llm.registry import op10_ann
+
+    data = "/root/testdata/sf0.1"
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids], float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    want = {(int(ids[q]), int(ids[i])) for q, near in zip(asked, best, strict=True) for i in near}
+    got = {(r.query_id, r.vec_id) for r in op10_ann(spark, data).collect()}
+    assert len(got & want) >= 0.9 * len(want)
