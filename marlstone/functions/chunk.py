@@ -28,12 +28,27 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP, strip: bool
     return F.filter(pieces, lambda p: p != "")
 
 
+def count_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """How many windows ``hard`` cuts a text into, without cutting it."""
+    step = float(max(size - overlap, 1))
+    return F.when(F.length(text) > 0, F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / F.lit(step)).cast("int"))).otherwise(F.lit(0))
+
+
 def fixed(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Windows of a text of at least ``least`` characters; a text that fits is one chunk as it is."""
     text = F.coalesce(text, F.lit(""))
     return F.when(F.length(text) < least, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(windows(text, size, overlap))
 
 
+def fixed_to_end(text: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """Stripped windows until one reaches the end of the text; a text that fits is one stripped chunk."""
+    text = F.coalesce(text, F.lit(""))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(max(size - overlap, 1)))).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * max(size - overlap, 1) + 1, F.lit(size))))
+    return F.when(F.length(text) < least, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(strip(text))).otherwise(F.filter(pieces, lambda p: p != ""))
+
+
 def hard(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows as they are, whatever the length; an empty text has none."""
     return windows(F.coalesce(text, F.lit("")), size, overlap, strip=False)

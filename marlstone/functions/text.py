@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,30 @@ def normalize_text(text: Column) -> Column:
     return F.regexp_replace(squeezed, "^ | $", "")
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def timestamp(text: Column) -> Column:
+    """ISO 8601 as a timestamp; null for what isn't one."""
+    return F.try_to_timestamp(text)
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case tokens of two characters or more, in order, repeats included."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return F.transform(F.filter(found, lambda t: F.length(t) > 1), F.lower)
 
 
+_TOKEN = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), TOKEN))
+
+
+def token_list(text: str | None) -> list[str]:
+    """The same for code that runs in Arrow batches; tokens are ASCII or CJK, so one pass lowers them all."""
+    return " ".join(t for t in _TOKEN.findall(text or "") if len(t) > 1).lower().split()
+
+
 def keywords(text: Column) -> Column:
     """CJK runs of two characters or more, then Latin words in lower case."""
     cjk = F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fa5}]{2,}"), F.lit(0))
@@ -32,12 +52,22 @@ def keywords(text: Column) -> Column:
     return F.concat(cjk, F.transform(latin, F.lower))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, the value taken once and not again for every element that a lambda in it visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_entropy(tokens: Column) -> Column:
-    """Entropy of the token distribution relative to its maximum, from 0 to 1."""
+    """Entropy of the token distribution relative to its maximum, from 0 to 1; one sort, so for texts of any length."""
     n = F.size(tokens)
-    # each token stands for 1 / n of the mass: the mean of -ln(p) over tokens is the entropy
-    share = lambda t: F.size(F.filter(tokens, lambda u: u == t)) / n
-    total = F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc - F.log(share(t) + 1e-9) / n)
+
+    def spread(s: Column) -> Column:  # ascending
+        starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        count = lambda b, at, j: F.coalesce(F.get(b, j + 1), F.size(s)) - at
+        shares = _bound(starts, lambda b: F.transform(b, lambda at, j: count(b, at, j) / F.size(s)))
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log(p + 1e-9))
+
+    total = _bound(F.array_sort(tokens), spread)
     return F.when(n > 1, F.least(F.lit(1.0), total / F.log(F.greatest(F.lit(2), n)))).otherwise(F.lit(0.0))
 
 
@@ -67,11 +97,6 @@ def adaptive_weights(text: Column) -> Column:
     )
 
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)``, the value taken once and not again for every element that a lambda in it visits."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def lexicon(tokens: Column) -> Column:
     """Map of token to its share of all tokens, in order of first places; one sort, so for texts of any length."""
 
@@ -97,6 +122,11 @@ def hybrid_metadata(text: Column) -> Column:
     return F.struct(F.to_json(lexicon(tokens)).alias("sparse_lexicon"), F.to_json(multi_vector_tokens(tokens)).alias("colbert_tokens"))
 
 
+def short_hash(text: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a text's MD5."""
+    return F.substring(F.md5(text.cast("binary")), 1, digits)
+
+
 def preview(text: Column, width: int = 70) -> Column:
     """The first characters of the normalised text, with an ellipsis if it goes on."""
     clean = normalize_text(text)
@@ -105,9 +135,13 @@ def preview(text: Column, width: int = 70) -> Column:
 
 def snippet(text: Column, query: Column, before: int = 100, after: int = 200, width: int = 200) -> Column:
     """The surroundings of the first keyword of the query, else the beginning of the text."""
-    low = F.lower(text)
-    hits = F.filter(F.transform(keywords(query), lambda k: F.instr(low, k)), lambda p: p > 0)
-    at = F.array_min(hits)
+
+    def first(low: Column) -> Column:  # every keyword is looked for only before the first hit so far
+        earlier = lambda at, k: F.nullif(F.instr(F.substring(low, F.lit(1), at + F.length(k) - 2), k), F.lit(0))
+        return F.aggregate(F.array_distinct(keywords(query)), F.length(low) + 1, lambda at, k: F.coalesce(earlier(at, k), at))
+
+    hit = _bound(F.lower(text), first)
+    at = F.when(hit <= F.length(F.lower(text)), hit)
     start = F.greatest(F.lit(1), at - before)
     around = normalize_text(F.substring(text, start, at + after - start))
     return F.when(at.isNotNull(), around).otherwise(F.replace(F.substring(text, 1, width), F.lit("\n"), F.lit(" ")))

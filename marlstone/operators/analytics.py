@@ -5,7 +5,7 @@ Rows are chunks with ``source, type, ts, chunk_index``; the present moment is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _DAY = 86_400_000_000
@@ -27,21 +27,27 @@ def breakdown(df: DataFrame, by: str) -> DataFrame:
 
 
 def expired(df: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
-    """Sources with rows older than so many days: their number, the oldest and its age."""
-    old = df.withColumn("age", age_days(F.col("ts"), as_of)).where(F.col("age") > days)
-    return old.groupBy("source").agg(F.min("ts").alias("oldest"), F.max("age").alias("age_days"), F.count(F.lit(1)).alias("n"))
+    """Sources with rows older than so many whole days: their number, the oldest and its age, oldest first; the scan gets the bound."""
+    old = df.where(F.col("ts") <= as_of - F.make_dt_interval(F.lit(days + 1)))
+    rows = old.groupBy("source").agg(F.min("ts").alias("oldest"), F.count(F.lit(1)).alias("n"))
+    return rows.select("source", "oldest", age_days(F.col("oldest"), as_of).alias("age_days"), "n").orderBy(F.desc("age_days"), "source")
 
 
 def expiring(df: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Sources with rows of more than so many days: their number, the oldest and its age."""
     old = df.where(F.col("ts") < as_of - F.make_dt_interval(F.lit(days)))
-    return old.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest")).withColumn("age_days", age_days(F.col("oldest"), as_of))
+    return old.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest")).withColumn("age_days", age_days(F.col("oldest"), as_of)).orderBy("oldest", "source")
 
 
 def recent(df: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Sources with rows of the last days: their number, their types and the first of them."""
     new = df.where(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))
-    return new.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"), F.min("ts").alias("first_seen"))
+    return new.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"), F.min("ts").alias("first_seen")).orderBy("first_seen", "source")
+
+
+def today_by_type(df: DataFrame, as_of: Column) -> DataFrame:
+    """``type, n`` of the rows since midnight."""
+    return breakdown(df.where(F.col("ts") >= F.date_trunc("day", as_of)), "type")
 
 
 def today_and_week(df: DataFrame, as_of: Column) -> DataFrame:
@@ -55,14 +61,22 @@ def today_and_week(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def chunk_gaps(df: DataFrame) -> DataFrame:
-    """Sources of several chunks whose numbers have gaps: the range, how many are missing, and which.
+    """Gaps in the numbers of a source's chunks, one row per gap: ``source, after, before, n_missing``.
 
-    Only distinct numbers are gathered per source, which a document's length bounds.
+    Neighbouring numbers are compared after repeated ones have gone, so no source's numbers
+    are gathered or listed, however many there are or lack.
     """
-    per = df.groupBy("source").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.collect_set("chunk_index").alias("present"))
-    missing = F.array_except(F.sequence("first", "last"), "present")
-    rows = per.where(F.size("present") > 1).select("source", "first", "last", F.size("present").cast("long").alias("present"), missing.alias("missing"))
-    return rows.where(F.size("missing") > 0).withColumn("n_missing", F.size("missing").cast("long"))
+    order = Window.partitionBy("source").orderBy("chunk_index")
+    numbers = df.select("source", "chunk_index").where("chunk_index is not null").distinct()
+    steps = numbers.select("source", F.col("chunk_index").alias("after"), F.lead("chunk_index").over(order).alias("before"))
+    return steps.where("before - after > 1").withColumn("n_missing", (F.col("before") - F.col("after") - 1).cast("long"))
+
+
+def gap_summary(df: DataFrame) -> DataFrame:
+    """Sources of several chunks whose numbers have gaps: the range, how many are there, and how many are missing."""
+    per = df.groupBy("source").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.countDistinct("chunk_index").alias("present"))
+    missing = (F.col("last") - F.col("first") + 1 - F.col("present")).cast("long")
+    return per.where("present > 1").withColumn("n_missing", missing).where("n_missing > 0")
 
 
 def dead_links(df: DataFrame, existing: DataFrame, key: str = "source", other: str = "original_file") -> DataFrame:

@@ -38,9 +38,12 @@ def report(pages: DataFrame) -> DataFrame:
 
 
 def enrichment_queue(pages: DataFrame) -> DataFrame:
-    """Pages to review, most mentioned first."""
-    order = Window.partitionBy("enrichment_level").orderBy(F.desc("mention_count"), "concept_id")
-    return pages.where("needs_review").withColumn("position", F.row_number().over(order)).select("enrichment_level", "position", "concept_id", "mention_count")
+    """Pages to review, most mentioned first, with the level that they have and the one that their mentions ask for.
+
+    The order is that of a range-partitioned sort: no level's pages come to one task.
+    """
+    rows = pages.where("needs_review").select("concept_id", "concept_name", "mention_count", F.col("enrichment_level").alias("current_level"), level(F.col("mention_count")).alias("target_level"))
+    return rows.orderBy(F.desc("mention_count"), "concept_id")
 
 
 def stale_stubs(pages: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
@@ -76,10 +79,58 @@ def compiled(rows: DataFrame, full: bool) -> DataFrame:
     """
     if not full:
         return rows.groupBy("concept").agg(F.count_if(F.col("fact") != "").alias("facts"), F.countDistinct("source").alias("sources")).withColumn("contradictions", F.lit(0).cast("long")).withColumn("confidence", F.lit(0.5))
+    out = _marked(rows).groupBy("concept").agg(F.count(F.lit(1)).alias("facts"), F.count_if("is_new").alias("sources"), F.count_if("odd").alias("contradictions"))
+    return out.withColumn("confidence", F.when(F.col("contradictions") > 0, 0.55).otherwise(0.75))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Evidence with ``is_new`` (the first of its source) and ``odd`` (a possible contradiction)."""
     upto = Window.partitionBy("concept").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(Window.partitionBy("concept", F.coalesce("source", F.lit("unknown"))).orderBy("rank")) == 1
     marked = rows.withColumn("is_new", first).withColumn("position", F.count(F.lit(1)).over(upto))
     marked = marked.withColumn("known", F.sum(F.col("is_new").cast("int")).over(upto) - F.col("is_new").cast("int"))
-    odd = F.col("is_new") & (F.col("known") >= 1) & (F.col("position") >= 3)
-    out = marked.groupBy("concept").agg(F.count(F.lit(1)).alias("facts"), F.count_if("is_new").alias("sources"), F.count_if(odd).alias("contradictions"))
-    return out.withColumn("confidence", F.when(F.col("contradictions") > 0, 0.55).otherwise(0.75))
+    return marked.withColumn("odd", F.col("is_new") & (F.col("known") >= 1) & (F.col("position") >= 3))
+
+
+# fixed values: the sentences of compiled knowledge
+_BASIC = "关于 '%s' 的基础信息，基于 %d 条相关片段"
+_FULL = "'%s' 的完整知识图谱，基于 %d 条证据，来自 %d 个独立来源"
+_ODD = "多源信息交叉验证中: %s vs 其他来源"
+_QUESTION = "多源信息存在差异，需要人工确认"
+
+
+def truth(rows: DataFrame, full: bool) -> DataFrame:
+    """``concept, summary, confidence, key_facts, contradictions, open_questions`` from evidence with the concept's ``name``.
+
+    A concept has at most ten rows of evidence.  Basic enrichment keeps its facts that aren't
+    blank, full enrichment the first eight facts and three contradictions.
+    """
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("rank", c)))), lambda x: x[c])
+    nothing = F.array().cast("array<string>")
+    if not full:
+        told = rows.withColumn("told", F.when(F.col("fact") != "", F.col("fact"))).groupBy("concept").agg(F.first("name").alias("name"), in_order("told").alias("facts"))
+        summary = F.when(F.size("facts") > 0, F.format_string(_BASIC, "name", F.size("facts"))).otherwise("")
+        return told.select("concept", summary.alias("summary"), F.lit(0.5).alias("confidence"), F.slice("facts", 1, 5).alias("key_facts"), nothing.alias("contradictions"), nothing.alias("open_questions"))
+    marked = _marked(rows).withColumn("doubt", F.when(F.col("odd"), F.format_string(_ODD, F.coalesce("source", F.lit("unknown")))))
+    told = marked.groupBy("concept").agg(F.first("name").alias("name"), in_order("fact").alias("facts"), in_order("doubt").alias("doubts"), F.count_if("is_new").alias("sources"))
+    return told.select(
+        "concept", F.format_string(_FULL, "name", F.size("facts"), "sources").alias("summary"), F.when(F.size("doubts") > 0, 0.55).otherwise(0.75).alias("confidence"),
+        F.slice("facts", 1, 8).alias("key_facts"), F.slice("doubts", 1, 3).alias("contradictions"), F.when(F.size("doubts") > 0, F.array(F.lit(_QUESTION))).otherwise(nothing).alias("open_questions"),
+    )
+
+
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Entries with their place ``seq``, from 1, within their key."""
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def appended(timeline: DataFrame, events: DataFrame) -> DataFrame:
+    """New entries of a timeline (``concept_id, seq``), numbered on from each concept's last one in order of ``pos``."""
+    last = timeline.groupBy("concept_id").agg(F.max("seq").alias("last"))
+    rows = numbered(events, "concept_id", "pos").join(last, "concept_id", "left")
+    return rows.withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("seq")).drop("last")
+
+
+def timeline_of(timeline: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entries with the name and mentions of their concept."""
+    return timeline.join(pages.select("concept_id", "concept_name", "mention_count"), "concept_id")

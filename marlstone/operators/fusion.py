@@ -25,14 +25,21 @@ def calibrated(score: Column, by: str = "query_id") -> Column:
     return F.when(high > low, (score - low) / (high - low)).otherwise((score > 0).cast("double"))
 
 
-def candidate_pool(dense: DataFrame, sparse: DataFrame) -> DataFrame:
+def candidate_pool(dense: DataFrame, sparse: DataFrame, most_sparse: int | None = None) -> DataFrame:
     """Dense hits and then sparse ones outside them: ``query_id, id, pool_pos, distance, dense_rank``.
 
-    Sparse-only rows have distance -1 and no dense rank; they follow the last dense rank.
+    Sparse-only rows, at most ``most_sparse`` of a query that has dense hits, have distance -1
+    and no dense rank; they follow the last dense rank, best score first.
     """
-    last = dense.groupBy("query_id").agg(F.max("rank").alias("last"))
-    more = sparse.join(last, "query_id").select("query_id", "id", (F.col("last") + F.col("rank")).alias("pool_pos"), F.lit(-1.0).alias("distance"), F.lit(None).cast("int").alias("dense_rank"))
-    return dense.select("query_id", "id", F.col("rank").alias("pool_pos"), "distance", F.col("rank").alias("dense_rank")).unionByName(more)
+    none = lambda t: F.lit(None).cast(t)
+    rows = dense.select("query_id", "id", "distance", F.col("rank").alias("dense_rank"), none("double").alias("score"))
+    rows = rows.unionByName(sparse.select("query_id", "id", none("double").alias("distance"), none("int").alias("dense_rank"), "score"))
+    rows = rows.groupBy("query_id", "id").agg(F.min("distance").alias("distance"), F.min("dense_rank").alias("dense_rank"), F.max("score").alias("score"))
+    extra = F.col("dense_rank").isNull()
+    place = F.row_number().over(Window.partitionBy("query_id", extra).orderBy(F.desc("score"), "id"))
+    rows = rows.withColumn("last", F.max("dense_rank").over(Window.partitionBy("query_id"))).withColumn("place", place).where("last is not null")
+    rows = rows if most_sparse is None else rows.where(~extra | (F.col("place") <= most_sparse))
+    return rows.select("query_id", "id", F.coalesce("dense_rank", F.col("last") + F.col("place")).alias("pool_pos"), F.coalesce("distance", F.lit(-1.0)).alias("distance"), "dense_rank")
 
 
 def fuse(pool: DataFrame, weights: Column, depth: int, k: int = RRF_K) -> DataFrame:
@@ -81,12 +88,19 @@ def diversify(fused: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
     return fused.select("query_id", "id", "score", "distance", "pool_pos").groupBy("query_id").applyInPandas(run, "query_id long, rank int, id long, score double, distance double")
 
 
+def _near(distance: Column) -> Column:
+    return F.when(distance >= 0, F.round(1 - distance / 2, 6))
+
+
+def confident(score: Column, distance: Column, least_score: float = 0.3, least_similarity: float = 0.55) -> Column:
+    """Whether a first row is good enough; a sparse-only row has no similarity and fails."""
+    return (score >= least_score) & F.coalesce(_near(distance) >= least_similarity, F.lit(False))
+
+
 def confidence_gate(top: DataFrame, least_score: float = 0.3, least_similarity: float = 0.55) -> DataFrame:
-    """Whether a query's first row is good enough; a sparse-only row has no similarity and fails."""
-    first = top.where("rank = 1")
-    near = F.when(F.col("distance") >= 0, F.round(1 - F.col("distance") / 2, 6))
-    ok = (F.col("score") >= least_score) & F.coalesce(near >= least_similarity, F.lit(False))
-    return first.select("query_id", "id", "score", near.alias("similarity"), ok.alias("confidence_ok"))
+    """Every query's first row with its similarity and whether it is good enough."""
+    ok = confident(F.col("score"), F.col("distance"), least_score, least_similarity)
+    return top.where("rank = 1").select("query_id", "id", "score", _near(F.col("distance")).alias("similarity"), ok.alias("confidence_ok"))
 
 
 def compare_rankings(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -96,3 +110,8 @@ def compare_rankings(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     both = a.join(b, "query_id", "full_outer")
     shared = F.size(F.array_intersect(F.coalesce("a", F.array().cast("array<long>")), F.coalesce("b", F.array().cast("array<long>"))))
     return both.select("query_id", shared.cast("long").alias("overlap"), (~F.col("first_a").eqNullSafe(F.col("first_b"))).alias("top1_changed"))
+
+
+def comparison_summary(compared: DataFrame) -> DataFrame:
+    """One row over all queries: how many changed their first row, and the mean overlap to one digit."""
+    return compared.agg(F.count(F.lit(1)).alias("queries"), F.count_if("top1_changed").alias("top1_changed"), F.round(F.avg("overlap"), 1).alias("mean_overlap"))

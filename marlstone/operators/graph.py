@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mentions(rows: DataFrame, links: str = "links", source: str = "source") -> DataFrame:
+def mentions(rows: DataFrame, links: str = "links", source: str = "source", chunk: str | None = None) -> DataFrame:
     """``concept_id, source, n, display``: how often a source mentions a concept.
 
-    ``rows`` has an array of ``struct(concept_id, display)``; the least display name stands for
-    a concept, whatever order rows come in.
+    ``rows`` has an array of ``struct(concept_id, display)``; the first display name by chunk
+    and place stands for a concept, whatever order rows come in.
     """
-    link = rows.select(F.coalesce(F.col(source), F.lit("unknown")).alias("source"), F.explode(links).alias("link")).where("link.concept_id <> ''")
-    return link.groupBy(F.col("link.concept_id").alias("concept_id"), "source").agg(F.count(F.lit(1)).alias("n"), F.min("link.display").alias("display"))
+    at = F.col(chunk) if chunk else F.lit(0)
+    link = rows.select(F.coalesce(F.col(source), F.lit("unknown")).alias("source"), at.alias("chunk"), F.posexplode(links).alias("pos", "link")).where("link.concept_id <> ''")
+    first = F.min(F.struct("chunk", "pos", "link.display"))
+    return link.groupBy(F.col("link.concept_id").alias("concept_id"), "source").agg(F.count(F.lit(1)).alias("n"), first["display"].alias("display"))
 
 
 def concepts(edges: DataFrame) -> DataFrame:
-    """``concept_id, concept_name, total_mentions, n_sources, backlinks`` from mentions by source."""
+    """``concept_id, concept_name, total_mentions, n_sources, backlinks`` from mentions by source; the first source's name holds.
+
+    Only who selects ``backlinks`` has a concept's sources gathered in a row; ``edges`` has them as rows.
+    """
     grouped = edges.groupBy("concept_id").agg(
-        F.min("display").alias("concept_name"), F.sum("n").alias("total_mentions"), F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_set("source")).alias("backlinks")
+        F.min(F.struct("source", "display")).alias("first"), F.sum("n").alias("total_mentions"), F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_set("source")).alias("backlinks")
     )
-    return grouped.withColumn("concept_name", F.coalesce("concept_name", "concept_id"))
+    return grouped.select("concept_id", F.coalesce("first.display", "concept_id").alias("concept_name"), "total_mentions", "n_sources", "backlinks")
 
 
 def stats(edges: DataFrame) -> DataFrame:

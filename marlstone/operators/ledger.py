@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def diff(current: DataFrame, ledger: DataFrame, key: str = "rel_path", sha: str = "sha256") -> DataFrame:
-    """``key, status, old_sha, new_sha``: new, changed, unchanged or deleted, by content hash."""
-    now = current.select(F.col(key), F.col(sha).alias("new_sha"), F.lit(True).alias("here"))
+def diff(current: DataFrame, ledger: DataFrame, key: str = "rel_path", sha: str = "sha256", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, status, old_sha, new_sha``: new, changed, unchanged or deleted, by content hash; ``carry``: more columns of ``current``."""
+    now = current.select(F.col(key), F.col(sha).alias("new_sha"), F.lit(True).alias("here"), *carry)
     then = ledger.select(F.col(key), F.col(sha).alias("old_sha"), F.lit(True).alias("known"))
     status = F.when(F.col("known").isNull(), "new").when(F.col("here").isNull(), "deleted").when(F.col("old_sha").eqNullSafe(F.col("new_sha")), "unchanged").otherwise("changed")
-    return now.join(then, key, "full_outer").select(key, status.alias("status"), "old_sha", "new_sha")
+    return now.join(then, key, "full_outer").select(key, status.alias("status"), "old_sha", "new_sha", *carry)
 
 
 def report(differences: DataFrame) -> DataFrame:
@@ -33,6 +33,11 @@ def remove(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def by_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of the table whose key is among those of ``ids``, each once."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def tombstones(deleted: DataFrame, ledger: DataFrame, key: str = "rel_path") -> DataFrame:
     """Chunk ids of files that are gone, from the chunk counts of the ledger."""
     gone = ledger.join(deleted.select(key).distinct(), key, "left_semi").where("chunk_count > 0")

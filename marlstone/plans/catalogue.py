@@ -3,15 +3,11 @@
 ``QUERIES`` maps a name to a function of (spark, directory); ``ORACLE_SQL`` maps names to
 DuckDB SQL over the same tables.  The definitions of queries that need a stand-in for the
 engine's own tables (links, chunks, ledger) are at the top of each section.
-
-Some queries restrict their rows, and so does their SQL.  ``NAME_whole`` is the same query
-without the restriction, with SQL of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,78 +33,59 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def whole(*by: tuple[str, str], **arguments):
-    """Also register the query as ``NAME_whole``: with other arguments, and its SQL with other parts."""
-
-    def register(f):
-        sql = ORACLE_SQL.get(f.__name__)
-        for old, new in by if sql else ():
-            if old not in sql:
-                raise ValueError(f"{f.__name__}: its SQL has no {old}")
-            sql = sql.replace(old, new)
-        return query(sql, f"{f.__name__}_whole")(partial(f, **arguments)) and f
-
-    return register
-
-
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# ----- dense retrieval: the first 20 embeddings ask all of them, or every twentieth by its id
-
-_FIRST, _TWENTIETH = "{} < 20", "{} % 20 = 0"
-_ASK_ALL = whole(("vec_id < 20", "vec_id % 20 = 0"), asked=_TWENTIETH)
+# ----- dense retrieval: every twentieth embedding, by its id, asks all of them
 
 _DENSE = """
 dense_all as (
   select q.vec_id as query_id, c.vec_id as id,
     round(1 - list_dot_product(q.embedding::double[], c.embedding::double[])
       / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(c.embedding::double[], c.embedding::double[]))), 6) + 0.0 as distance
-  from (select * from embeddings where vec_id < 20) q, embeddings c),
+  from (select * from embeddings where vec_id % 20 = 0) q, embeddings c),
 dense_ranked as (select *, row_number() over (partition by query_id order by distance, id) as rank from dense_all)"""
 
 
-def _dense_queries(spark, d, asked=_FIRST):
-    return _read(spark, d, "embeddings").where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _dense_queries(spark, d):
+    return _read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _dense_corpus(spark, d):
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@_ASK_ALL
 @query(f"with {_DENSE} select query_id, rank, id, distance from dense_ranked where rank <= 30")
-def dense_topk(spark, d, asked=_FIRST):
-    return retrieval.dense_topk(_dense_queries(spark, d, asked), _dense_corpus(spark, d), 30)
+def dense_topk(spark, d):
+    return retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 30)
 
 
-@_ASK_ALL
 @query(f"with {_DENSE} select query_id, rank, id, round(1 - distance / 2, 7) as similarity from dense_ranked where rank <= 5")
-def dense_topk_similarity(spark, d, asked=_FIRST):
-    top = retrieval.dense_topk(_dense_queries(spark, d, asked), _dense_corpus(spark, d), 5)
+def dense_topk_similarity(spark, d):
+    top = retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 5)
     return top.select("query_id", "rank", "id", F.round(vec.similarity(F.col("distance")), 7).alias("similarity"))
 
 
-@_ASK_ALL
 @query(f"with {_DENSE} select count(*) as n, min(distance) as min_distance, round(max(distance), 6) as max_distance, round(avg(distance), 5) as mean_distance, case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from dense_ranked where rank <= 30")
-def dense_distance_summary(spark, d, asked=_FIRST):
-    return retrieval.metric_of(dense_topk(spark, d, asked))
+def dense_distance_summary(spark, d):
+    return retrieval.metric_of(dense_topk(spark, d))
 
 
-@_ASK_ALL
-@query("""
-select q.vec_id as query_id, c.vec_id as id, round((
+@query(f"""
+with {_DENSE}
+select query_id, id, round((
   select avg(greatest(0, best)) from (
     select i, max(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))) as best from (
       select i, q.embedding[i * 16 + 1 : i * 16 + 16]::double[] as a, c.embedding[j * 16 + 1 : j * 16 + 16]::double[] as b
       from range(4) t(i), range(4) u(j)) group by i)), 6) as score
-from embeddings q join embeddings c on q.label = c.label where q.vec_id < 20
+from dense_ranked join embeddings q on q.vec_id = query_id join embeddings c on c.vec_id = id where rank <= 30
 """)
-def maxsim(spark, d, asked=_FIRST):
-    e = _read(spark, d, "embeddings").select("vec_id", "label", vec.token_vectors(F.col("embedding"), 4).alias("v"))
-    asked = e.where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
-    return asked.join(e.withColumnRenamed("vec_id", "id"), "label").select("query_id", "id", vec.max_sim(F.col("q"), F.col("v")).alias("score"))
+def maxsim(spark, d):
+    """Multi-vector scores of every query's dense candidates."""
+    e = _read(spark, d, "embeddings").select("vec_id", vec.token_vectors(F.col("embedding"), 4).alias("v"))
+    asked, held = e.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e.withColumnRenamed("vec_id", "id")
+    return dense_topk(spark, d).join(asked, "query_id").join(held, "id").select("query_id", "id", vec.max_sim(F.col("q"), F.col("v")).alias("score"))
 
 
 # ----- text functions
@@ -126,12 +103,11 @@ def token_stats(spark, d):
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@whole((" having count(distinct doc_id) > 5", ""), kept="true")
-@query(f"with t as (select doc_id, unnest({_tokens('text')}) as token from documents) select token, count(*) as n, count(distinct doc_id) as docs from t group by token having count(distinct doc_id) > 5")
-def token_frequencies(spark, d, kept="docs > 5"):
+@query(f"with t as (select doc_id, unnest({_tokens('text')}) as token from documents) select token, count(*) as n, count(distinct doc_id) as docs from t group by token")
+def token_frequencies(spark, d):
     t = _read(spark, d, "documents").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("token"))
     per_doc = t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where(kept)
+    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 _POSTINGS = """
@@ -147,11 +123,10 @@ def postings(spark, d):
     return retrieval.postings(_read(spark, d, "documents"), "doc_id", "text")
 
 
-@whole((" having count(*) > 10", ""), kept="true")
-@query(f"with {_DOC_POSTINGS} select token, count(*) as docs, round(sum(weight::decimal(12,6))::double, 2) as weight from postings group by token having count(*) > 10")
-def sparse_features(spark, d, kept="docs > 10"):
+@query(f"with {_DOC_POSTINGS} select token, count(*) as docs, round(sum(weight::decimal(12,6))::double, 2) as weight from postings group by token")
+def sparse_features(spark, d):
     p = retrieval.postings(_read(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(F.col("weight").cast("decimal(12,6)")).cast("double"), 2).alias("weight")).where(kept)
+    return p.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(F.col("weight").cast("decimal(12,6)")).cast("double"), 2).alias("weight"))
 
 
 _CLEAN = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
@@ -177,7 +152,6 @@ def query_complexity(spark, d):
     return rows.select("item_id", "c.*")
 
 
-_SHORT = "(select item_id, left(text, 12 + item_id % 60) as text from benchmark)"
 _WEIGHTS = """
 weights as (select id, case
     when clean = '' then [0.45, 0.35, 0.20]
@@ -186,11 +160,9 @@ weights as (select id, case
     when length_factor > 0.6 then [0.55, 0.20, 0.25] else [0.40, 0.35, 0.25] end as w from complexity)"""
 
 
-@whole(("left(text, 12 + item_id % 60)", "text"), short="text")
-@query(f"with {_complexity('item_id', _SHORT)}, {_WEIGHTS} select id as item_id, w[1]::double as dense, w[2]::double as sparse, w[3]::double as colbert from weights")
-def adaptive_weights(spark, d, short="left(text, cast(12 + item_id % 60 as int))"):
-    short = _read(spark, d, "benchmark").select("item_id", F.expr(short).alias("text"))
-    return short.select("item_id", tx.adaptive_weights(F.col("text")).alias("w")).select("item_id", "w.*")
+@query(f"with {_complexity('item_id', 'benchmark')}, {_WEIGHTS} select id as item_id, w[1]::double as dense, w[2]::double as sparse, w[3]::double as colbert from weights")
+def adaptive_weights(spark, d):
+    return _read(spark, d, "benchmark").select("item_id", tx.adaptive_weights(F.col("text")).alias("w")).select("item_id", "w.*")
 
 
 @query(f"with {_complexity('doc_id', 'documents')} select id as doc_id, entropy from complexity")
@@ -228,11 +200,9 @@ def snippet(spark, d):
     return docs.select("doc_id", tx.snippet(F.col("text"), F.col("q")).alias("snippet"))
 
 
-# Markdown around a document's words, the same on both sides
-_DECORATED = r"'# T' || doc_id || chr(10) || chr(10) || '**' || left(text, 40) || '** [[p' || (doc_id % 7) || '|alias]] [[q#h]] ![i](u.png) [l](x.md) <b>x</b> `c`' || chr(10) || '- ' || substr(text, 41, 80)"
-_DECORATED_SPARK = "concat('# T', doc_id, '\n\n**', left(text, 40), '** [[p', doc_id % 7, '|alias]] [[q#h]] ![i](u.png) [l](x.md) <b>x</b> `c`\n- ', substring(text, 41, 80))"
-_WHOLE_SPARK = _DECORATED_SPARK.replace("left(text, 40)", "text").replace("substring(text, 41, 80)", "text")
-_DECORATE_ALL = whole(("left(text, 40)", "text"), ("substr(text, 41, 80)", "text"), md=_WHOLE_SPARK)
+# Markdown around a whole document, the same on both sides
+_DECORATED = r"'# T' || doc_id || chr(10) || chr(10) || '**B** [[p' || (doc_id % 7) || '|alias]] [[q#h]] ![i](u.png) [l](x.md) <b>x</b> `c`' || chr(10) || '- ' || text || chr(10) || '## *E* [[end]]'"
+_DECORATED_SPARK = "concat('# T', doc_id, '\n\n**B** [[p', doc_id % 7, '|alias]] [[q#h]] ![i](u.png) [l](x.md) <b>x</b> `c`\n- ', text, '\n## *E* [[end]]')"
 _CONVERTED = r"regexp_replace(regexp_replace(regexp_replace({c}, '\[\[([^\]|]*)\|([^\]|]*)(?:\|[^\]]*)?\]\]', '\2', 'g'), '\[\[([^\]#]*)#([^\]#]*)(?:#[^\]]*)?\]\]', '\1 > \2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g')"
 
 
@@ -243,17 +213,15 @@ def _cleaned(c: str) -> str:
     return out
 
 
-@_DECORATE_ALL
 @query(f"select doc_id, {_CONVERTED.format(c='md')} as converted from (select doc_id, {_DECORATED} as md from documents)")
-def convert_wikilinks(spark, d, md=_DECORATED_SPARK):
-    md = _read(spark, d, "documents").select("doc_id", F.expr(md).alias("md"))
+def convert_wikilinks(spark, d):
+    md = _read(spark, d, "documents").select("doc_id", F.expr(_DECORATED_SPARK).alias("md"))
     return md.select("doc_id", tx.convert_wikilinks(F.col("md")).alias("converted"))
 
 
-@_DECORATE_ALL
 @query(f"select doc_id, {_cleaned('md')} as cleaned from (select doc_id, {_DECORATED} as md from documents)")
-def clean_markdown(spark, d, md=_DECORATED_SPARK):
-    md = _read(spark, d, "documents").select("doc_id", F.expr(md).alias("md"))
+def clean_markdown(spark, d):
+    md = _read(spark, d, "documents").select("doc_id", F.expr(_DECORATED_SPARK).alias("md"))
     return md.select("doc_id", tx.clean_markdown(F.col("md")).alias("cleaned"))
 
 
@@ -268,7 +236,7 @@ _RECALL = f"""
 {_DOC_POSTINGS},
 ask_tokens as (select distinct item_id as query_id, unnest({_tokens('text')}) as token from benchmark),
 ask as (select *, count(*) over (partition by query_id) as n_tokens from ask_tokens),
-recall as (select query_id, id, round(sum(weight) / max(n_tokens), 6) as score from ask join postings using (token) group by query_id, id having round(sum(weight) / max(n_tokens), 6) > 0),
+recall as (select query_id, id, round(sum(round(weight * 1000000)::bigint) / max(n_tokens)) / 1000000 as score from ask join postings using (token) group by query_id, id having round(sum(round(weight * 1000000)::bigint) / max(n_tokens)) / 1000000 > 0),
 plain as (select query_id, id, round(sum(weight), 6) as score from ask join postings using (token) group by query_id, id having round(sum(weight), 6) > 0)"""
 
 
@@ -278,19 +246,20 @@ def _asks(spark, d):
 
 @query(f"with {_RECALL} select query_id, row_number() over (partition by query_id order by score desc, id) as rank, id, score from recall qualify rank <= 10")
 def sparse_recall(spark, d):
-    return retrieval.sparse_topk(_asks(spark, d), postings(spark, d), 10)
+    return retrieval.sparse_recall(_asks(spark, d), _read(spark, d, "documents"), "doc_id", "text", 10)
 
 
-@query(f"with {_RECALL}, kept as (select * from recall where (query_id + id) % 3 <> 0) select query_id, row_number() over (partition by query_id order by score desc, id) as rank, id, score from kept qualify rank <= 10")
+@query(f"with {_RECALL}, placed as (select *, row_number() over (partition by query_id order by score desc, id) as place from recall) select query_id, place - 5 as rank, id, score from placed where place between 6 and 15")
 def sparse_recall_excluding(spark, d):
-    asks, docs = _asks(spark, d), postings(spark, d)
-    known = retrieval.sparse_scores(asks, docs).where("(query_id + id) % 3 = 0")
-    return retrieval.sparse_topk(asks, docs, 10, exclude=known)
+    """The next ten, without the five that were recalled before."""
+    docs = _read(spark, d, "documents")
+    before = retrieval.sparse_recall(_asks(spark, d), docs, "doc_id", "text", 5)
+    return retrieval.sparse_recall(_asks(spark, d), docs, "doc_id", "text", 10, exclude=before)
 
 
 @query(f"with {_RECALL} select query_id, row_number() over (partition by query_id order by score desc, id) as rank, id, score, round(1 - score, 6) as distance from plain qualify rank <= 5")
 def sparse_only_topk(spark, d):
-    top = retrieval.sparse_topk(_asks(spark, d), postings(spark, d), 5, normalize=False)
+    top = retrieval.sparse_recall(_asks(spark, d), _read(spark, d, "documents"), "doc_id", "text", 5, normalize=False)
     return top.withColumn("distance", F.round(1 - F.col("score"), 6))
 
 
@@ -301,15 +270,15 @@ common as (select p.query_id, p.id, sum(least(a.weight, d.weight)) as common fro
 select p.query_id, p.id, round(least(1.0, coalesce(common / whole, 0)), 6) as score from pairs p left join common using (query_id, id) left join whole using (query_id)""")
 def sparse_min_overlap(spark, d):
     pairs = sparse_recall(spark, d).select("query_id", "id")
-    return retrieval.overlap_scores(pairs, retrieval.postings(_read(spark, d, "benchmark"), "item_id", "text"), postings(spark, d))
+    return retrieval.overlap_scores(pairs, _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-# ----- hybrid retrieval: embedding q and document q ask the rows that have both
+# ----- hybrid retrieval: every twentieth of the rows that have an embedding and a document asks all of them
 
 _HYBRID = f"""
 {_DOC_POSTINGS},
 corpus as materialized (select vec_id as id, embedding::double[] as vector, text from embeddings join documents on vec_id = doc_id),
-queries as (select id as query_id, vector, text from corpus where id < 20),
+queries as (select id as query_id, vector, text from corpus where id % 20 = 0),
 dense_all as materialized (
   select q.query_id, c.id, round(1 - list_dot_product(q.vector, c.vector) / (sqrt(list_dot_product(q.vector, q.vector)) * sqrt(list_dot_product(c.vector, c.vector))), 6) + 0.0 as distance
   from queries q, corpus c),
@@ -317,7 +286,7 @@ dense as materialized (select *, row_number() over (partition by query_id order
 docs as materialized (select p.* from postings p join corpus c on p.id = c.id),
 ask_tokens as (select distinct query_id, unnest({_tokens('text')}) as token from queries),
 ask as materialized (select *, count(*) over (partition by query_id) as n_tokens from ask_tokens),
-recall as materialized (select query_id, id, round(sum(weight) / max(n_tokens), 6) as score from ask join docs using (token) group by query_id, id having round(sum(weight) / max(n_tokens), 6) > 0),
+recall as materialized (select query_id, id, round(sum(round(weight * 1000000)::bigint) / max(n_tokens)) / 1000000 as score from ask join docs using (token) group by query_id, id having round(sum(round(weight * 1000000)::bigint) / max(n_tokens)) / 1000000 > 0),
 sparse as materialized (select r.*, row_number() over (partition by query_id order by score desc, id) as rank from recall r anti join dense using (query_id, id) qualify rank <= 10),
 pool as materialized (
   select query_id, id, rank as pool_pos, distance, rank as dense_rank from dense
@@ -348,63 +317,80 @@ fused as materialized (
 ranked as (select *, row_number() over (partition by query_id order by score desc, pool_pos) as rank from fused)"""
 
 
-_ASK_HYBRID = whole(("corpus where id < 20", "corpus where id % 20 = 0"), asked=_TWENTIETH)
-
-
-def _hybrid(spark, d, asked=_FIRST):
+def _hybrid(spark, d):
     corpus = _read(spark, d, "embeddings").join(_read(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "text")
-    return corpus.where(asked.format("id")).select(F.col("id").alias("query_id"), "vector", "text"), corpus
+    return corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", "text"), corpus
 
 
-@_ASK_HYBRID
 @query(f"with {_HYBRID} select query_id, id, sparse_score, colbert_score, rrf, score from fused")
-def hybrid_fuse(spark, d, asked=_FIRST):
-    return search.hybrid_pool(*_hybrid(spark, d, asked), 5).select("query_id", "id", "sparse_score", "colbert_score", "rrf", "score")
+def hybrid_fuse(spark, d):
+    return search.hybrid_pool(*_hybrid(spark, d), 5).select("query_id", "id", "sparse_score", "colbert_score", "rrf", "score")
 
 
-@_ASK_HYBRID
 @query(f"with {_HYBRID} select query_id, rank, id, score from ranked where rank <= 5")
-def hybrid_topk(spark, d, asked=_FIRST):
-    return fusion.ranked(search.hybrid_pool(*_hybrid(spark, d, asked), 5), 5).select("query_id", "rank", "id", "score")
+def hybrid_topk(spark, d):
+    return fusion.ranked(search.hybrid_pool(*_hybrid(spark, d), 5), 5).select("query_id", "rank", "id", "score")
 
 
-@_ASK_HYBRID
 @query(f"with {_HYBRID} select query_id, id, score, case when distance >= 0 then round(1 - distance / 2, 6) end as similarity, score >= 0.3 and coalesce(distance >= 0 and round(1 - distance / 2, 6) >= 0.55, false) as confidence_ok from ranked where rank = 1")
-def confidence_gate(spark, d, asked=_FIRST):
-    return fusion.confidence_gate(fusion.ranked(search.hybrid_pool(*_hybrid(spark, d, asked), 5), 1))
+def confidence_gate(spark, d):
+    return fusion.confidence_gate(fusion.ranked(search.hybrid_pool(*_hybrid(spark, d), 5), 1))
 
 
-@_ASK_HYBRID
 @query(f"""with {_HYBRID}, a as (select query_id, list(id) as a, min_by(id, rank) as fa from dense where rank <= 5 group by query_id), b as (select query_id, list(id) as b, min_by(id, rank) as fb from ranked where rank <= 5 group by query_id)
 select query_id, len(list_intersect(a, b)) as overlap, fa <> fb as top1_changed from a join b using (query_id)""")
-def compare_dense_hybrid(spark, d, asked=_FIRST):
-    queries, corpus = _hybrid(spark, d, asked)
+def compare_dense_hybrid(spark, d):
+    queries, corpus = _hybrid(spark, d)
     dense = retrieval.dense_topk(queries.select("query_id", "vector"), corpus.select("id", "vector"), 5)
     return fusion.compare_rankings(dense, fusion.ranked(search.hybrid_pool(queries, corpus, 5), 5), 5)
 
 
-@_ASK_HYBRID
-@query()
-def mmr_rerank(spark, d, asked=_FIRST):
-    return fusion.diversify(search.hybrid_pool(*_hybrid(spark, d, asked), 5), 5)
+_MMR = """
+cands as (select query_id, list(struct_pack(id := id, score := score, distance := distance) order by score desc, pool_pos) as l from fused group by query_id),
+steps as (
+  select query_id, l, case when len(l) <= 5 then range(1, len(l) + 1) else [1::bigint] end as c from cands
+  union all
+  select query_id, l, list_append(c, -list_reverse_sort(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(c, i)),
+    lambda i: struct_pack(v := 0.7::double * l[i].score - 0.3::double * greatest(0, list_max(list_transform(c, lambda j: 1 - abs(l[i].distance - l[j].distance) / 2))), i := -i)))[1].i)
+  from steps where len(c) < least(5, len(l))),
+diverse as (
+  select query_id, rank, l[c[rank]].id as id, l[c[rank]].score as score, l[c[rank]].distance as distance
+  from (select query_id, l, c, unnest(range(1, len(c) + 1))::int as rank from steps where len(c) = least(5, len(l))))"""
 
 
-@_ASK_HYBRID
-@query()
-def hybrid_search(spark, d, asked=_FIRST):
-    return search.search(*_hybrid(spark, d, asked), 5)
+@query(f"""with {_HYBRID}, a as (select query_id, list(id) as a, min_by(id, rank) as fa from dense where rank <= 5 group by query_id), b as (select query_id, list(id) as b, min_by(id, rank) as fb from ranked where rank <= 5 group by query_id)
+select count(*) as queries, count(*) filter (fa <> fb) as top1_changed, round(avg(len(list_intersect(a, b))), 1) as mean_overlap from a join b using (query_id)""")
+def comparison_summary(spark, d):
+    return fusion.comparison_summary(compare_dense_hybrid(spark, d))
+
+
+@query(f"with recursive {_HYBRID}, {_MMR} select query_id, rank, id, score, distance from diverse")
+def mmr_rerank(spark, d):
+    return fusion.diversify(search.hybrid_pool(*_hybrid(spark, d), 5), 5)
+
+
+@query(rf"""with recursive {_HYBRID}, {_MMR},
+gate as (select query_id, score >= 0.3 and distance >= 0 and round(1 - distance / 2, 6) >= 0.55 as confidence_ok from diverse where rank = 1),
+worded as (
+  select v.*, c.text, list_concat(regexp_extract_all(q.text, '[\x{{4e00}}-\x{{9fa5}}]{{2,}}'), list_transform(regexp_extract_all(q.text, '[a-zA-Z]+'), lambda x: lower(x))) as words
+  from diverse v join corpus c using (id) join queries q using (query_id)),
+found as (select *, list_min(list_filter(list_transform(words, lambda w: instr(lower(text), w)), lambda p: p > 0)) as hit from worded)
+select query_id, rank, id, score, case when distance >= 0 then 1 - distance / 2 end as similarity, confidence_ok,
+  case when hit is null then replace(left(text, 200), chr(10), ' ')
+    else trim(regexp_replace(substr(text, greatest(1, hit - 100), hit + 200 - greatest(1, hit - 100)), '\s+', ' ', 'g')) end as snippet
+from found join gate using (query_id)""")
+def hybrid_search(spark, d):
+    return search.search(*_hybrid(spark, d), 5)
 
 
-@_ASK_ALL
 @query(f"with {_DENSE} select query_id, id, round(1 / (60 + rank), 8) as rrf from dense_ranked where rank <= 30")
-def rrf_single(spark, d, asked=_FIRST):
-    return dense_topk(spark, d, asked).select("query_id", "id", F.round(fusion.reciprocal_rank(F.col("rank")), 8).alias("rrf"))
+def rrf_single(spark, d):
+    return dense_topk(spark, d).select("query_id", "id", F.round(fusion.reciprocal_rank(F.col("rank")), 8).alias("rrf"))
 
 
-@_ASK_ALL
 @query(f"with {_DENSE}, top as (select * from dense_ranked where rank <= 30), w as (select *, min(distance) over (partition by query_id) as lo, max(distance) over (partition by query_id) as hi from top) select query_id, id, round(case when hi > lo then (distance - lo) / (hi - lo) else (distance > 0)::int end, 6) as calibrated from w")
-def calibrate_minmax(spark, d, asked=_FIRST):
-    return dense_topk(spark, d, asked).select("query_id", "id", F.round(fusion.calibrated(F.col("distance")), 6).alias("calibrated"))
+def calibrate_minmax(spark, d):
+    return dense_topk(spark, d).select("query_id", "id", F.round(fusion.calibrated(F.col("distance")), 6).alias("calibrated"))
 
 
 # ----- chunks
@@ -418,6 +404,15 @@ def chunk_fixed(spark, d):
     return chunk.explode_chunks(_read(spark, d, "documents"), chunk.fixed(F.col("text")), ["doc_id"])
 
 
+@query("""
+with n as (select doc_id, text, case when length(text) <= 450 then 0 else ceil((length(text) - 450) / 350.0) end::int as last from documents where length(text) >= 50),
+pieces as (select doc_id, i as chunk_index, regexp_replace(substr(text, i * 350 + 1, 450), '^\\s+|\\s+$', '', 'g') as chunk, last from n, lateral (select unnest(range(last + 1)) as i))
+select doc_id, chunk_index::int as chunk_index, chunk from pieces where chunk <> '' or last = 0
+""")
+def chunk_to_end(spark, d):
+    return chunk.explode_chunks(_read(spark, d, "documents"), chunk.fixed_to_end(F.col("text")), ["doc_id"])
+
+
 @query("""
 with n as (select doc_id, text, greatest(1, ceil((length(text) - 100) / 350.0))::int as n from documents where length(text) > 0)
 select doc_id, i::int as chunk_index, substr(text, i * 350 + 1, 450) as chunk from n, lateral (select unnest(range(n)) as i)
@@ -431,7 +426,7 @@ with n as (select source, length(text) as len, greatest(1, ceil((length(text) -
 select source, count(*) as docs, sum(n)::bigint as chunks, max(n)::bigint as most, sum(len)::bigint as chars from n group by source
 """)
 def chunk_window_stats(spark, d):
-    docs = _read(spark, d, "documents").where("length(text) > 0").select("source", F.length("text").alias("len"), F.size(chunk.hard(F.col("text"))).alias("n"))
+    docs = _read(spark, d, "documents").where("length(text) > 0").select("source", F.length("text").alias("len"), chunk.count_windows(F.col("text")).alias("n"))
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("chunks"), F.max("n").cast("long").alias("most"), F.sum("len").alias("chars"))
 
 
@@ -451,7 +446,7 @@ def chunk_headings(spark, d):
 
 @query("select doc_id, left(md5(text), 12) as content_hash, sha256(text) as sha256 from documents")
 def content_hash(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 12).alias("content_hash"), F.sha2("text", 256).alias("sha256"))
+    return _read(spark, d, "documents").select("doc_id", tx.short_hash(F.col("text"), 12).alias("content_hash"), F.sha2("text", 256).alias("sha256"))
 
 
 @query("select left(md5(text), 12) as content_hash, min(doc_id) as first_id, count(*) as copies from documents group by 1")
@@ -459,35 +454,36 @@ def dedup_exact(spark, d):
     return ledger.first_of_content(_read(spark, d, "documents"), "text", "doc_id")
 
 
-@whole(("doc_id % 3 = 0 and doc_id < 60", "source is not null and doc_id in (select doc_id from labels)"), known="labels")
-@query("select doc_id, source from documents where source not in (select source from documents where doc_id % 3 = 0 and doc_id < 60)")
-def anti_seen_source(spark, d, known=None):
-    docs = _read(spark, d, "documents").select("doc_id", "source")
-    seen = docs.join(_read(spark, d, known), "doc_id", "left_semi") if known else docs.where("doc_id % 3 = 0 and doc_id < 60")
-    return ledger.unseen(docs, seen, "source")
+@query("select c_custkey as source, c_name as name from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '2001-08-01' - interval 30 day)")
+def anti_seen_source(spark, d):
+    """Customers as sources that aren't among those of the last month's chunks."""
+    files = _read(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.col("c_name").alias("name"))
+    return ledger.unseen(files, _orders(spark, d).where(F.col("ts") >= _now() - F.make_dt_interval(F.lit(30))), "source")
 
 
-@query("select doc_id, left(md5(text), 12) as hash from documents where doc_id % 2 = 1 and left(md5(text), 12) not in (select left(md5(text), 12) from documents where doc_id % 2 = 0)")
+@query("with h as (select d.doc_id, left(md5(text), 12) as hash, l.doc_id is not null as known from documents d left join labels l using (doc_id)) select doc_id, hash from h where not known and hash not in (select hash from h where known)")
 def anti_seen_hash(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 12).alias("hash"))
-    return ledger.unseen(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "hash").select("doc_id", "hash")
+    """Documents without a label whose text no labelled document has."""
+    docs, labels = _read(spark, d, "documents").select("doc_id", tx.short_hash(F.col("text"), 12).alias("hash")), _read(spark, d, "labels")
+    return ledger.unseen(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id", "left_semi"), "hash").select("doc_id", "hash")
 
 
-# ----- the ledger: some documents were stored, some have changed, some are gone
+# ----- the ledger: labelled documents were stored, those of low quality have changed since, toxic ones are gone
 
-_STORED = "stored as (select doc_id as rel_path, case when doc_id % 7 = 0 then repeat('0', 64) else sha256(text) end as sha256, (n_chars // 350 + 1) as chunk_count from documents where doc_id % 10 <> 0), files as (select doc_id as rel_path, sha256(text) as sha256 from documents where doc_id % 13 <> 0)"
+_STORED = "stored as (select doc_id as rel_path, case when quality = 0 then repeat('0', 64) else sha256(text) end as sha256, (n_chars // 350 + 1) as chunk_count from documents join labels using (doc_id)), files as (select doc_id as rel_path, sha256(text) as sha256 from documents where doc_id not in (select doc_id from labels where toxic = 1))"
 _DIFF = f"""with {_STORED}, diff as (
   select rel_path, case when s.sha256 is null then 'new' when f.sha256 is null then 'deleted' when s.sha256 = f.sha256 then 'unchanged' else 'changed' end as status, s.sha256 as old_sha, f.sha256 as new_sha
   from files f full join stored s using (rel_path))"""
 
 
 def _stored(spark, d):
-    docs = _read(spark, d, "documents").where("doc_id % 10 <> 0")
-    return docs.select(F.col("doc_id").alias("rel_path"), F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("0"), 64)).otherwise(F.sha2("text", 256)).alias("sha256"), F.expr("n_chars div 350 + 1").alias("chunk_count"))
+    docs = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id")
+    return docs.select(F.col("doc_id").alias("rel_path"), F.when(F.col("quality") == 0, F.repeat(F.lit("0"), 64)).otherwise(F.sha2("text", 256)).alias("sha256"), F.expr("n_chars div 350 + 1").alias("chunk_count"))
 
 
 def _files(spark, d):
-    return _read(spark, d, "documents").where("doc_id % 13 <> 0").select(F.col("doc_id").alias("rel_path"), F.sha2("text", 256).alias("sha256"))
+    kept = _read(spark, d, "documents").join(_read(spark, d, "labels").where("toxic = 1"), "doc_id", "left_anti")
+    return kept.select(F.col("doc_id").alias("rel_path"), F.sha2("text", 256).alias("sha256"))
 
 
 @query(f"{_DIFF} select * from diff")
@@ -521,33 +517,58 @@ def route_files(spark, d):
     return routed.select("rel_path", "top_folder", "collection", F.coalesce("chunk_size", F.lit(0)).alias("chunk_size"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
-@whole(("doc_id % 4 = 0 and ", ""), offered="true")
-@query("select doc_id from documents where doc_id % 4 = 0 and doc_id not in (select doc_id from labels)")
-def insert_if_absent(spark, d, offered="doc_id % 4 = 0"):
-    rows = _read(spark, d, "documents").where(offered).select("doc_id")
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def insert_if_absent(spark, d):
+    rows = _read(spark, d, "documents").select("doc_id")
     return ledger.insert_if_absent(_read(spark, d, "labels").select("doc_id"), rows, "doc_id")[0]
 
 
-# ----- the concept graph: anchors of pages as links, hosts as sources
+# ----- the concept graph: pages as notes, hosts as sources
+# A page's anchors are rewritten as Markdown, each as a wiki link and as [label](target).
+
+_ANCHOR = r'(?s)<a [^>]*href="/?([^"]*)"[^>]*>(.*?)</a>'
+_LABEL_NOT = r"<[^>]+>|[\[\]]"
+
+
+def _plain(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
 
-_HREF = r'<a [^>]*href="/?([^"]*)"'
 _LINKS = rf"""
-anchors as (select page_id, split_part(split_part(url, '://', 2), '/', 1) as source, unnest(regexp_extract_all(html, '{_HREF}', 1)) as href from pages),
-links as (select page_id, source, lower(trim(href)) as concept_id, trim(href) as display from anchors where trim(href) <> ''),
-edges as (select concept_id, source, count(*) as n, min(display) as display from links group by concept_id, source),
-graph as (select concept_id, min(display) as concept_name, sum(n)::bigint as total_mentions, count(*) as n_sources, list_sort(list(source)) as backlinks from edges group by concept_id)"""
+md as (
+  select page_id, split_part(split_part(url, '://', 2), '/', 1) as source, array_to_string(list_transform(list_transform(regexp_extract_all(html, '{_ANCHOR}'),
+    lambda a: struct_pack(h := regexp_extract(a, '{_ANCHOR}', 1), l := regexp_replace(regexp_extract(a, '{_ANCHOR}', 2), '{_LABEL_NOT}', '', 'g'))),
+    lambda a: '[[' || a.h || '|' || a.l || ']] [' || a.l || '](' || a.h || ')'), ' ') as t from pages),
+wiki as (select page_id, source, unnest(a) as whole, generate_subscripts(a, 1) as pos from (select *, regexp_extract_all(t, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]') as a from md)),
+marked as (select page_id, source, unnest(a) as whole, generate_subscripts(a, 1) as pos from (select *, regexp_extract_all(t, '\[([^\]]*)\]\(([^)]+)\)') as a from md)),
+named as (
+  select page_id, source, 0 as kind, pos, regexp_extract(whole, '\[\[([^\]|#]+)', 1) as target, string_split(whole[3:-3], '|')[-1] as shown from wiki where not starts_with(whole, '[[.')
+  union all
+  select page_id, source, 1, pos, case when label <> '' then label else target end, case when label <> '' then label else target end
+  from (select *, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 1) as label, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 2) as target from marked) where not regexp_matches(target, '^(http|#|\.)')),
+links as (select page_id, source, kind, pos, lower({_plain("target")}) as concept_id, {_plain("shown")} as display from named),
+edges as (select concept_id, source, count(*) as n, first(display order by page_id, kind, pos) as display from links where concept_id <> '' group by concept_id, source),
+graph as (select concept_id, first(display order by source) as concept_name, sum(n)::bigint as total_mentions, count(*) as n_sources, list_sort(list(source)) as backlinks from edges group by concept_id)"""
+
+
+def _notes(spark, d):
+    """``page_id, source, url, links`` of all pages."""
+    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
+    href = lambda a: F.regexp_extract(a, _ANCHOR, 1)
+    label = lambda a: F.regexp_replace(F.regexp_extract(a, _ANCHOR, 2), _LABEL_NOT, "")
+    link = lambda a: F.concat(F.lit("[["), href(a), F.lit("|"), label(a), F.lit("]] ["), label(a), F.lit("]("), href(a), F.lit(")"))
+    md = F.array_join(F.transform(anchors, link), " ")
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return _read(spark, d, "pages").select("page_id", "url", host.alias("source"), tx.links(md).alias("links"))
 
 
-def _page_links(spark, d):
-    href = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
-    marked = F.array_join(F.transform(href, lambda h: F.concat(F.lit("[[x|"), F.trim(h), F.lit("]]"))), " ")
-    pages = _read(spark, d, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("source"), href.alias("href"), marked.alias("marked"))
-    names = F.filter(F.transform("href", F.trim), lambda h: h != "")
-    return pages.select("page_id", "source", F.transform(names, lambda h: F.struct(F.lower(h).alias("concept_id"), h.alias("display"))).alias("links"))
+def _edges(spark, d):
+    return graph.mentions(_notes(spark, d), chunk="page_id")
 
 
-def _edges(spark, d, some: str = "true"):
-    return graph.mentions(_page_links(spark, d).where(some))
+@query(f"with {_LINKS} select page_id, concept_id, display from links")
+def link_extraction(spark, d):
+    return _notes(spark, d).select("page_id", F.explode("links").alias("link")).select("page_id", "link.*")
 
 
 @query(f"with {_LINKS} select concept_id, source, n, display from edges")
@@ -585,54 +606,13 @@ def top_concepts(spark, d):
     return graph.concepts(_edges(spark, d)).select("concept_id", "concept_name", "total_mentions").orderBy(F.desc("total_mentions"), "concept_id").limit(10)
 
 
-@query(r"""
-with md as (select page_id, '[[Alpha|one]] [[.hid]] [[b#h]] ' || '[' || page_id || '](note' || (page_id % 5) || '.md) [x](http://y) [](z.md)' as t from pages),
-w as (select page_id, 0 as kind, unnest(regexp_extract_all(t, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]', 1)) as target from md),
-m as (select page_id, unnest(regexp_extract_all(t, '\[([^\]]*)\]\(([^)]+)\)')) as whole from md),
-l as (select page_id, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 1) as label, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 2) as target from m)
-select page_id, lower(target) as concept_id from w where not starts_with(target, '.')
-union all select page_id, lower(case when label <> '' then label else target end) from l where not regexp_matches(target, '^(http|#|\.)')
-""")
-def link_extraction(spark, d):
-    md = "concat('[[Alpha|one]] [[.hid]] [[b#h]] [', page_id, '](note', page_id % 5, '.md) [x](http://y) [](z.md)')"
-    rows = _read(spark, d, "pages").select("page_id", F.explode(tx.links(F.expr(md))).alias("link"))
-    return rows.select("page_id", "link.concept_id")
-
-
-_ANCHOR = r'(?s)<a [^>]*href="/?([^"]*)"[^>]*>(.*?)</a>'
-_LABEL_NOT = r"<[^>]+>|[\[\]]"
-
-
-def _plain(c: str) -> str:
-    return rf"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
-
-
-@query(rf"""
-with md as (
-  select page_id, array_to_string(list_transform(list_transform(regexp_extract_all(html, '{_ANCHOR}'),
-    lambda a: struct_pack(h := regexp_extract(a, '{_ANCHOR}', 1), l := regexp_replace(regexp_extract(a, '{_ANCHOR}', 2), '{_LABEL_NOT}', '', 'g'))),
-    lambda a: '[[' || a.h || '|' || a.l || ']] [' || a.l || '](' || a.h || ')'), ' ') as t from pages),
-w as (select page_id, unnest(regexp_extract_all(t, '\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]', 1)) as target from md),
-m as (select page_id, unnest(regexp_extract_all(t, '\[([^\]]*)\]\(([^)]+)\)')) as whole from md),
-l as (select page_id, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 1) as label, regexp_extract(whole, '\[([^\]]*)\]\(([^)]+)\)', 2) as target from m)
-select page_id, {_plain("target")} as concept_id from w where not starts_with(target, '.')
-union all select page_id, {_plain("case when label <> '' then label else target end")} from l where not regexp_matches(target, '^(http|#|\.)')
-""")
-def link_extraction_whole(spark, d):
-    """The links of Markdown into which the page's own anchors are rewritten, each as a wiki link and as ``[label](target)``."""
-    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
-    href = lambda a: F.regexp_extract(a, _ANCHOR, 1)
-    label = lambda a: F.regexp_replace(F.regexp_extract(a, _ANCHOR, 2), _LABEL_NOT, "")
-    link = lambda a: F.concat(F.lit("[["), href(a), F.lit("|"), label(a), F.lit("]] ["), label(a), F.lit("]("), href(a), F.lit(")"))
-    md = F.array_join(F.transform(anchors, link), " ")
-    rows = _read(spark, d, "pages").select("page_id", F.explode(tx.links(md)).alias("link"))
-    return rows.select("page_id", "link.concept_id")
-
-
-# The store holds what the pages with an id divisible by 5 mention; the graph comes from all pages.
+# The store of the last run holds what the pages without TLS mention, and each host that had a page.
 _STORE = f"""{_LINKS},
-store as (select concept_id, min(display) as concept_name, count(*) as mention_count, case when count(*) >= 8 then 2 when count(*) >= 3 then 1 else 0 end as enrichment_level,
-    timestamp '2024-01-01' + to_days((count(*) * 11 % 60)::int) as last_seen, count(*) % 2 = 0 as needs_review from links where page_id % 5 = 0 group by concept_id),
+held as (
+  select e.concept_id, min(e.display) as concept_name, count(*) as n from links e join pages p using (page_id) where starts_with(p.url, 'http://') and e.concept_id <> '' group by e.concept_id
+  union all select 'host ' || source, source, count(*) from md group by source),
+store as (select concept_id, concept_name, n as mention_count, case when n >= 8 then 2 when n >= 3 then 1 else 0 end as enrichment_level,
+    timestamp '2024-01-01' + to_days((n * 11 % 60)::int) as last_seen, n % 2 = 0 as needs_review from held),
 pages_now as (
   select concept_id, coalesce(s.concept_name, g.concept_name) as concept_name, coalesce(total_mentions, mention_count) as mention_count,
     case when s.concept_id is null then 0 when g.concept_id is null then enrichment_level when total_mentions >= 8 then 2 when total_mentions >= 3 then 1 else 0 end as enrichment_level,
@@ -644,10 +624,13 @@ pages_now as (
 
 
 def _store(spark, d):
-    g = graph.concepts(_edges(spark, d, "page_id % 5 = 0"))
-    n = F.col("total_mentions")
+    notes = _notes(spark, d)
+    said = notes.where(F.startswith("url", F.lit("http://"))).select(F.explode("links").alias("link")).where("link.concept_id <> ''")
+    said = said.groupBy("link.concept_id").agg(F.min("link.display").alias("concept_name"), F.count(F.lit(1)).alias("n"))
+    hosts = notes.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("host "), "source").alias("concept_id"), F.col("source").alias("concept_name"), "n")
+    n = F.col("n")
     seen = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((n * 11 % 60).cast("int"))
-    return g.select("concept_id", "concept_name", n.alias("mention_count"), graph.level(n).alias("enrichment_level"), seen.alias("last_seen"), (n % 2 == 0).alias("needs_review"))
+    return said.unionByName(hosts).select("concept_id", "concept_name", n.alias("mention_count"), graph.level(n).alias("enrichment_level"), seen.alias("last_seen"), (n % 2 == 0).alias("needs_review"))
 
 
 def _reconciled(spark, d):
@@ -664,21 +647,19 @@ def ferment_report(spark, d):
     return ferment.report(_reconciled(spark, d))
 
 
-@query(f"with {_STORE} select enrichment_level, row_number() over (partition by enrichment_level order by mention_count desc, concept_id) as position, concept_id, mention_count from pages_now where needs_review")
+@query(f"with {_STORE} select concept_id, concept_name, mention_count, enrichment_level as current_level, case when mention_count >= 8 then 2 when mention_count >= 3 then 1 else 0 end as target_level from pages_now where needs_review")
 def enrichment_queue(spark, d):
     return ferment.enrichment_queue(_reconciled(spark, d))
 
 
-@whole(("from store)", "from pages_now)"), table=_reconciled)
-@query(f"with {_STORE} select concept_id, age_days from (select *, floor((epoch_us(timestamp '2024-03-01') - epoch_us(last_seen)) / 86400000000)::bigint as age_days from store) where enrichment_level = 0 and age_days > 30")
-def orphan_cleanup(spark, d, table=_store):
-    return ferment.stale_stubs(table(spark, d), F.lit("2024-03-01").cast("timestamp")).select("concept_id", "age_days")
+@query(f"with {_STORE} select concept_id, age_days from (select *, floor((epoch_us(timestamp '2024-03-01') - epoch_us(last_seen)) / 86400000000)::bigint as age_days from pages_now) where enrichment_level = 0 and age_days > 30")
+def orphan_cleanup(spark, d):
+    return ferment.stale_stubs(_reconciled(spark, d), F.lit("2024-03-01").cast("timestamp")).select("concept_id", "age_days")
 
 
-@whole(("avg_mentions from store", "avg_mentions from pages_now"), table=_reconciled)
-@query(f"with {_STORE} select count(*) filter (enrichment_level = 0) as stubs, count(*) filter (enrichment_level = 1) as basic, count(*) filter (enrichment_level = 2) as full, sum(mention_count)::bigint as total_mentions, max(mention_count) as max_mentions, round(avg(mention_count), 1) as avg_mentions from store")
-def level_distribution(spark, d, table=_store):
-    return ferment.level_distribution(table(spark, d))
+@query(f"with {_STORE} select count(*) filter (enrichment_level = 0) as stubs, count(*) filter (enrichment_level = 1) as basic, count(*) filter (enrichment_level = 2) as full, sum(mention_count)::bigint as total_mentions, max(mention_count) as max_mentions, round(avg(mention_count), 1) as avg_mentions from pages_now")
+def level_distribution(spark, d):
+    return ferment.level_distribution(_reconciled(spark, d))
 
 
 # A label of the embeddings is a concept; its lowest vector asks, documents give text and source.
@@ -713,6 +694,45 @@ def enrich_full(spark, d):
     return ferment.compiled(_evidence(spark, d, True), True)
 
 
+@query(f"""with {_EVIDENCE},
+kept as (select *, trim(left(text, 200)) as fact from evidence where rank <= 5 and similarity >= 0.4),
+found as (select concept, list(fact order by rank) filter (fact <> '') as facts from kept group by concept)
+select concept::bigint as concept, case when len(facts) > 0 then '关于 ' || chr(39) || 'label ' || concept || chr(39) || ' 的基础信息，基于 ' || len(facts) || ' 条相关片段' else '' end as summary, 0.5::double as confidence,
+  array_to_string(facts[1:5], '~') as key_facts, '' as contradictions, '' as open_questions from found""")
+def truth_basic(spark, d):
+    return _truth(spark, d, False)
+
+
+@query(f"""with {_EVIDENCE},
+kept as (select *, trim(left(text, 300)) as fact, row_number() over (partition by concept, source order by rank) = 1 as fresh, row_number() over (partition by concept order by rank) as pos from evidence where rank <= 10 and similarity >= 0.35),
+marked as (select *, sum(fresh::int) over (partition by concept order by rank) - fresh::int as known from kept),
+sums as (
+  select concept, list(fact order by rank) as facts, count(*) filter (fresh) as sources,
+    coalesce(list('多源信息交叉验证中: ' || source || ' vs 其他来源' order by rank) filter (fresh and known >= 1 and pos >= 3), []) as odd from marked group by concept)
+select concept::bigint as concept, chr(39) || 'label ' || concept || chr(39) || ' 的完整知识图谱，基于 ' || len(facts) || ' 条证据，来自 ' || sources || ' 个独立来源' as summary, (case when len(odd) > 0 then 0.55 else 0.75 end)::double as confidence,
+  array_to_string(facts[1:8], '~') as key_facts, array_to_string(odd[1:3], '~') as contradictions, case when len(odd) > 0 then '多源信息存在差异，需要人工确认' else '' end as open_questions from sums""")
+def truth_full(spark, d):
+    return _truth(spark, d, True)
+
+
+def _truth(spark, d, full: bool):
+    rows = _evidence(spark, d, full).withColumn("name", F.concat(F.lit("label "), F.col("concept").cast("string")))
+    told = ferment.truth(rows, full)
+    return told.select("concept", "summary", "confidence", *[F.array_join(c, "~").alias(c) for c in ("key_facts", "contradictions", "open_questions")])
+
+
+@query(f"""with {_STORE},
+said as (select concept_id, event, 0 as pos from pages_now where event is not null),
+before as (select concept_id, mention_count as entries from store where mention_count <= 3)
+select concept_id, concept_name, coalesce(entries, 0)::int + 1 as seq, event, mention_count from said left join before using (concept_id) join pages_now p using (concept_id, event)""")
+def concept_timeline(spark, d):
+    """New entries after those that stored concepts have already, with their concept."""
+    pages, store = _reconciled(spark, d), _store(spark, d)
+    known = store.where("mention_count <= 3").select("concept_id", F.col("mention_count").cast("int").alias("seq"))
+    events = pages.where("event is not null").select("concept_id", "event", F.lit(0).alias("pos"))
+    return ferment.timeline_of(ferment.appended(known, events), pages).select("concept_id", "concept_name", "seq", "event", "mention_count")
+
+
 # ----- collection analytics: orders as chunks, customers as sources
 
 _AS_OF = "2001-08-01"
@@ -758,26 +778,36 @@ def today_week_stats(spark, d):
     return analytics.today_and_week(_orders(spark, d), _now())
 
 
+@query(f"with {_CHUNKS} select type, count(*) as n from chunks where ts >= timestamp '{_AS_OF}' group by type")
+def today_by_type(spark, d):
+    return analytics.today_by_type(_orders(spark, d), _now())
+
+
 _GAPS = """
 per as (select l_orderkey as source, min(l_linenumber) as first, max(l_linenumber) as last, count(distinct l_linenumber) as present from lineitem group by 1 having count(distinct l_linenumber) > 1),
 gaps as (select *, last - first + 1 - present as n_missing from per where last - first + 1 > present)"""
 
 
-def _gaps(spark, d):
-    return analytics.chunk_gaps(_read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("chunk_index")))
+def _numbers(spark, d):
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("chunk_index"))
 
 
 @query(f"with {_GAPS} select source, first, last, present, n_missing from gaps")
 def orphan_chunks(spark, d):
-    return _gaps(spark, d).drop("missing")
+    return analytics.gap_summary(_numbers(spark, d))
+
 
+@query("with n as (select distinct l_orderkey as source, l_linenumber as after from lineitem), s as (select *, lead(after) over (partition by source order by after) as before from n) select source, after, before, (before - after - 1)::bigint as n_missing from s where before - after > 1")
+def chunk_gaps(spark, d):
+    return analytics.chunk_gaps(_numbers(spark, d))
 
-_DEAD = """dead as (select o_orderkey from orders where cast(o_custkey as varchar) not in (select cast(c_custkey as varchar) from customer where c_custkey % 3 <> 0) and cast(o_orderkey % 2000 as varchar) not in (select cast(c_custkey as varchar) from customer where c_custkey % 3 <> 0))"""
+
+_DEAD = """dead as (select o_orderkey from orders where cast(o_custkey as varchar) not in (select cast(c_custkey as varchar) from customer where c_acctbal >= 0) and cast(o_orderkey % 2000 as varchar) not in (select cast(c_custkey as varchar) from customer where c_acctbal >= 0))"""
 
 
 def _dead(spark, d):
     rows = _read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 2000).alias("original_file"))
-    files = _read(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("name"))
+    files = _read(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("name"))
     return analytics.dead_links(rows, files)
 
 
@@ -791,7 +821,7 @@ e as (select count(distinct source) as n from chunks where floor((epoch_us(times
 select e.n as expired, (select count(*) from dead) as dead, (select count(*) from gaps) as gaps, greatest(0, 100 - 5 * e.n - 3 * (select count(*) from dead) - 2 * (select count(*) from gaps)) as health from e""")
 def health_score(spark, d):
     counts = analytics.expired(_orders(spark, d), _now()).agg(F.count(F.lit(1)).alias("expired"))
-    counts = counts.crossJoin(_dead(spark, d).agg(F.count(F.lit(1)).alias("dead"))).crossJoin(_gaps(spark, d).agg(F.count(F.lit(1)).alias("gaps")))
+    counts = counts.crossJoin(_dead(spark, d).agg(F.count(F.lit(1)).alias("dead"))).crossJoin(analytics.gap_summary(_numbers(spark, d)).agg(F.count(F.lit(1)).alias("gaps")))
     return counts.withColumn("health", analytics.health_score(F.col("expired"), F.col("dead"), F.col("gaps")))
 
 
@@ -801,23 +831,20 @@ def vector_completeness(spark, d):
     return analytics.completeness(rows.select(F.col("quality").alias("sparse"), F.when(F.col("source") != "src1", F.lit(1)).alias("colbert")), "sparse", "colbert")
 
 
-@whole((" where length(text) < 500", ""), rows="true")
-@query(f"select d.doc_id, l.doc_id is null as filled, len(list_distinct({_tokens('text')})) as n_entries from documents d left join labels l using (doc_id) where length(text) < 500")
-def backfill(spark, d, rows="length(text) < 500"):
+@query(f"select d.doc_id, l.doc_id is null as filled, len(list_distinct({_tokens('text')})) as n_entries from documents d left join labels l using (doc_id)")
+def backfill(spark, d):
     sparse = tx.hybrid_metadata(F.col("text"))["sparse_lexicon"]
     entries = F.size(F.map_keys(F.from_json(sparse, "map<string,double>")))
     # counted before the join, so that no text is shuffled
-    counted = _read(spark, d, "documents").where(rows).select("doc_id", entries.cast("long").alias("n_entries"))
+    counted = _read(spark, d, "documents").select("doc_id", entries.cast("long").alias("n_entries"))
     known = _read(spark, d, "labels").select("doc_id", F.lit(True).alias("known"))
     return counted.join(known, "doc_id", "left").select("doc_id", F.col("known").isNull().alias("filled"), "n_entries")
 
 
 @query("select conv_id, row_number() over (partition by conv_id order by turn, role, text) as seq, turn, role, left(md5(text), 8) as source_hash from conversations")
 def timeline_append(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return _read(spark, d, "conversations").select("conv_id", F.row_number().over(order).alias("seq"), "turn", "role", F.substring(F.md5(F.col("text").cast("binary")), 1, 8).alias("source_hash"))
+    rows = ferment.numbered(_read(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    return rows.select("conv_id", "seq", "turn", "role", tx.short_hash(F.col("text"), 8).alias("source_hash"))
 
 
 @query("""with probes as (select event_type, case when value >= 150 then 'fail' when value >= 100 then 'warn' else 'ok' end as status from events)
@@ -853,21 +880,17 @@ def concept_lookup(spark, d):
     return graph.lookup(graph.concepts(_edges(spark, d)), "der").select("concept_id", "concept_name")
 
 
-@_ASK_ALL
 @query(f"with {_DENSE}, top as (select * from dense_ranked where rank <= 30), m as (select case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from top) select query_id, id, metric, round(case metric when 'cosine' then 1 - distance / 2 when 'ip' then 1 - distance else 1 / (1 + distance) end, 7) as similarity from top, m")
-def metric_similarity(spark, d, asked=_FIRST):
-    top = dense_topk(spark, d, asked)
+def metric_similarity(spark, d):
+    top = dense_topk(spark, d)
     metric = retrieval.metric_of(top).select("metric")
     return top.crossJoin(F.broadcast(metric)).select("query_id", "id", "metric", F.round(retrieval.similarity_by_metric(F.col("distance"), F.col("metric")), 7).alias("similarity"))
 
 
-
-
-@whole(("left(text, 60)", "text"), text="text")
-@query(f"select doc_id, 'N' || doc_id as title, coalesce(lang, 'none') as lang, 'H' || doc_id as heading, length('# H' || doc_id || chr(10) || left(text, 60)) as body_length from documents")
-def note_front_matter(spark, d, text="left(text, 60)"):
+@query(f"select doc_id, 'N' || doc_id as title, coalesce(lang, 'none') as lang, 'H' || doc_id as heading, length('# H' || doc_id || chr(10) || text) as body_length from documents")
+def note_front_matter(spark, d):
     """Front matter, title and body of notes made of the documents."""
-    note = F.concat(F.lit("---\ntitle: \""), F.lit("N"), F.col("doc_id").cast("string"), F.lit("\"\nlang: "), F.coalesce("lang", F.lit("none")), F.lit("\n---\n# H"), F.col("doc_id").cast("string"), F.lit("\n"), F.expr(text))
+    note = F.concat(F.lit("---\ntitle: \""), F.lit("N"), F.col("doc_id").cast("string"), F.lit("\"\nlang: "), F.coalesce("lang", F.lit("none")), F.lit("\n---\n# H"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
     rows = _read(spark, d, "documents").select("doc_id", note.alias("note")).select("doc_id", tx.front_matter(F.col("note")).alias("meta"), tx.body(F.col("note")).alias("body"))
     return rows.select("doc_id", F.col("meta")["title"].alias("title"), F.col("meta")["lang"].alias("lang"), tx.title(F.col("body"), F.lit("")).alias("heading"), F.length("body").cast("long").alias("body_length"))
 
@@ -877,9 +900,8 @@ def cross_references(spark, d):
     return _read(spark, d, "pages").select("page_id", tx.cross_references(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("suffix"))
 
 
-@whole(("vec_id = 7", "vec_id in (select doc_id from labels)"), asked="labels")
-@query("select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0 as has_length from embeddings where vec_id = 7")
-def point_lookup(spark, d, asked=None):
-    rows = _read(spark, d, "embeddings")
-    rows = rows.join(_read(spark, d, asked).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi") if asked else rows.where("vec_id = 7")
+@query("select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0 as has_length from embeddings where vec_id in (select doc_id from labels)")
+def point_lookup(spark, d):
+    """The vectors of the ids that another table names."""
+    rows = ledger.by_ids(_read(spark, d, "embeddings"), _read(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id")
     return rows.select("vec_id", "label", (vec.norm(F.col("embedding")) > 0).alias("has_length"))

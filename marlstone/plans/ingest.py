@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,30 +29,55 @@ def chunks_of(notes: DataFrame, as_of: Column, size: int = chunk.SIZE, overlap:
     )
 
 
-def ingest(spark: SparkSession, vault: str, store: Store, routes: DataFrame, rules: DataFrame, default: str, as_of: Column, embedding=None, dry_run: bool = False) -> DataFrame:
+def live_chunks(spark: SparkSession, store: Store) -> DataFrame:
+    """The chunks that hold: those of the run that the ledger names for their file."""
+    known = tables.read_or_empty(spark, store.ledger, schemas.LEDGER).select(F.col("rel_path").alias("source"), "run")
+    return tables.read_or_empty(spark, store.chunks, schemas.CHUNKS).join(known, ["source", "run"], "left_semi")
+
+
+def ingest(
+    spark: SparkSession, vault: str, store: Store, routes: DataFrame, rules: DataFrame, default: str, as_of: Column, embedding=None, dry_run: bool = False, full: bool = False
+) -> DataFrame:
     """Bring the store up to the vault; returns the ledger diff.  A dry run writes nothing.
 
-    Changed and deleted files lose their old chunks in whichever collection the ledger names;
-    a note without text counts as deleted.  Running it again changes nothing.
+    The vault is read once; the texts of new and changed notes go with the diff.  Their chunks
+    are appended as a partition of this run, and the ledger is swapped last: until then the
+    old chunks hold, and a run that fails leaves rows that nothing names.  So a run writes what
+    has changed, whatever the size of the store.  Chunks whose embedding failed are left out;
+    the others keep their numbers.  A note without text counts as deleted, and one without
+    chunks is known with none of them.  Running it again changes nothing.  ``full`` forgets the ledger.
     """
-    notes = files.scan_notes(spark, vault).where(F.trim(tx.body(F.col("text"))) != "")
+    notes = files.scan_notes(spark, vault).where(tx.stripped(tx.body(F.col("text"))) != "")
     known = tables.read_or_empty(spark, store.ledger, schemas.LEDGER)
-    old = tables.read_or_empty(spark, store.chunks, schemas.CHUNKS)
-    differences = ledger.diff(notes, known)
+    known = known.limit(0) if full else known
+    differences = ledger.diff(notes, known, carry=("text", "top_folder", "mtime"))
     if dry_run:
-        return differences
-    tables.replace(differences, store.last_diff)  # what this run does, whatever it changes on the way
+        return differences.drop("text", "top_folder", "mtime")
+    work = F.col("status").isin("new", "changed")
+    tables.replace(differences.withColumn("text", F.when(work, F.col("text"))), store.last_diff)  # what this run does, whatever it changes on the way
     found = spark.read.schema(differences.schema).parquet(store.last_diff)
-    work = found.where("status in ('new', 'changed')").select("rel_path")
-    routed = ledger.route(notes.join(work, "rel_path", "left_semi"), routes, rules, default)
+    routed = ledger.route(found.where(work).withColumnRenamed("new_sha", "sha256"), routes, rules, default)
     fresh = chunks_of(routed, as_of)
     if embedding is not None:
-        fresh = fresh.withColumn("embedding", embedding(F.col("document")))
-    stale = found.where("status in ('changed', 'deleted')").select(F.col("rel_path").alias("source"))
-    kept = ledger.remove(old, stale, "source")
-    tables.replace(kept.unionByName(fresh, allowMissingColumns=True), store.chunks)
-    counts = tables.read_or_empty(spark, store.chunks, schemas.CHUNKS).groupBy(F.col("source").alias("rel_path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.max("collection").alias("collection"))
-    written = notes.join(work, "rel_path", "left_semi").select("rel_path", "sha256", "mtime").join(counts, "rel_path").withColumn("ingested_at", as_of)
+        fresh = fresh.withColumn("embedding", embedding(F.col("document"))).where("embedding is not null")
+    run = uuid.uuid4().hex
+    fresh.write.parquet(f"{store.chunks}/run={run}")
+    counts = spark.read.schema(fresh.schema).parquet(f"{store.chunks}/run={run}").groupBy(F.col("source").alias("rel_path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+    written = routed.select("rel_path", "sha256", "mtime", "collection").join(counts, "rel_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    written = written.withColumn("ingested_at", as_of).withColumn("run", F.lit(run))
     now = ledger.remove(ledger.upsert(known, written, "rel_path"), found.where("status = 'deleted'"), "rel_path")
     tables.replace(now, store.ledger)
-    return found
+    return found.drop("text", "top_folder", "mtime")
+
+
+def compact(spark: SparkSession, store: Store) -> None:
+    """Write the chunks that hold as one run, name it in the ledger, then remove the runs before."""
+    if not tables.exists(spark, store.ledger):
+        return
+    known = tables.read_or_empty(spark, store.ledger, schemas.LEDGER)
+    before = [r["run"] for r in spark.read.schema(schemas.CHUNKS).parquet(store.chunks).select("run").distinct().collect()]  # one row a run
+    run = uuid.uuid4().hex
+    live_chunks(spark, store).drop("run").write.parquet(f"{store.chunks}/run={run}")
+    tables.replace(known.withColumn("run", F.lit(run)), store.ledger)
+    for old in before:
+        tables.drop(spark, f"{store.chunks}/run={old}")

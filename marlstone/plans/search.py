@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
 from marlstone.functions import vector as vec
 from marlstone.operators import fusion, retrieval
+from marlstone.sources import tables
 
 
 def hybrid_pool(queries: DataFrame, corpus: DataFrame, k: int, parts: int = 4) -> DataFrame:
@@ -19,10 +20,10 @@ def hybrid_pool(queries: DataFrame, corpus: DataFrame, k: int, parts: int = 4) -
     """
     depth = fusion.pool_size(k)
     dense = retrieval.dense_topk(queries.select("query_id", "vector"), corpus.select("id", "vector"), depth)
-    docs = retrieval.postings(corpus, "id", "text")
-    sparse = retrieval.sparse_topk(retrieval.distinct_tokens(queries, "query_id", "text"), docs, 2 * k, exclude=dense)
-    pool = fusion.candidate_pool(dense, sparse)
-    lexical = retrieval.overlap_scores(pool.select("query_id", "id"), retrieval.postings(queries.withColumnRenamed("query_id", "id"), "id", "text"), docs)
+    # so many sparse rows that 2 k are left whatever the dense hits take
+    sparse = retrieval.sparse_recall(retrieval.distinct_tokens(queries, "query_id", "text"), corpus, "id", "text", 2 * k + depth)
+    pool = tables.settle(fusion.candidate_pool(dense, sparse, 2 * k))
+    lexical = retrieval.overlap_scores(pool.select("query_id", "id"), queries.select(F.col("query_id").alias("id"), "text"), corpus.select("id", "text"))
     both = pool.join(lexical.withColumnRenamed("score", "sparse_score"), ["query_id", "id"])
     asked = queries.select("query_id", vec.token_vectors(F.col("vector"), parts).alias("_q"), tx.adaptive_weights(F.col("text")).alias("weights"))
     held = corpus.select("id", vec.token_vectors(F.col("vector"), parts).alias("_d"))
@@ -33,8 +34,9 @@ def hybrid_pool(queries: DataFrame, corpus: DataFrame, k: int, parts: int = 4) -
 def search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k results of every query: fused, diversified, with similarity, gate and snippet."""
     fused = hybrid_pool(queries, corpus, k)
+    first = Window.partitionBy("query_id").orderBy("rank")
     top = fusion.diversify(fused, k)
-    gate = fusion.confidence_gate(top).select("query_id", "confidence_ok")
+    top = top.withColumn("confidence_ok", F.first(fusion.confident(F.col("score"), F.col("distance"))).over(first))
     near = F.when(F.col("distance") >= 0, vec.similarity(F.col("distance")))
-    rows = top.join(gate, "query_id").join(corpus.select("id", F.col("text").alias("document")), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    rows = top.join(corpus.select("id", F.col("text").alias("document")), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     return rows.select("query_id", "rank", "id", "score", near.alias("similarity"), "confidence_ok", tx.snippet(F.col("document"), F.col("query")).alias("snippet"))

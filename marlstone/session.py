@@ -17,7 +17,7 @@ def session(name: str = "marlstone", **conf: str) -> SparkSession:
 
 @dataclass(frozen=True)
 class Store:
-    """Where the tables of a collection store live; ``chunks`` is partitioned by collection."""
+    """Where the tables of a store live; ``chunks`` and ``timeline`` grow by one partition a run."""
 
     root: str
 

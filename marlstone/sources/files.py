@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 HIDDEN = (".obsidian", ".trash", ".git", ".smart-env")
 SYSTEM_FOLDER = "_system"
 CONFLICT = "(?i)冲突|conflict"
+VAULT_FOLDERS = (".obsidian", ".git", ".trash", "_system", ".oak")
+HUB_FOLDERS = (".git", ".obsidian", "__pycache__", "backups", ".venv", "site-packages", ".pytest_cache", ".gradio", ".streamlit")
+LEAST_BYTES = 50
 
 
 def excluded(rel_path: Column) -> Column:
@@ -19,6 +22,12 @@ def excluded(rel_path: Column) -> Column:
     return hidden | system | F.element_at(parts, -1).rlike(CONFLICT)
 
 
+def below(rel_path: Column, folders: tuple[str, ...]) -> Column:
+    """Paths with one of the folders above their file."""
+    parts = F.split(rel_path, "/")
+    return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, folders)))
+
+
 def scan(spark: SparkSession, root: str, glob: str = "*.md", recursive: bool = True) -> DataFrame:
     """``rel_path, top_folder, name, sha256, mtime, size, content`` of files below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
@@ -50,6 +59,29 @@ def scan_folder(spark: SparkSession, root: str, extensions: tuple[str, ...], lea
     return rows.where(F.col("extension").isin(*extensions) & (F.col("size") >= least_size))
 
 
+def scan_hub(spark: SparkSession, root: str) -> DataFrame:
+    """Markdown files of a working folder, of at least ``LEAST_BYTES``, outside the folders of tools.
+
+    As in every listing by Spark, names that begin with ``_`` or ``.`` are left out.
+    """
+    rows = scan_folder(spark, root, ("md",), LEAST_BYTES)
+    return rows.where(~below(F.col("rel_path"), HUB_FOLDERS))
+
+
+def scan_vault(spark: SparkSession, root: str) -> DataFrame:
+    """All Markdown files of a vault, of at least ``LEAST_BYTES``, outside its system folders and without conflicting copies."""
+    rows = scan_folder(spark, root, ("md",), LEAST_BYTES)
+    return rows.where(~below(F.col("rel_path"), VAULT_FOLDERS) & ~F.col("name").rlike(CONFLICT))
+
+
+def merged(*scans: DataFrame) -> DataFrame:
+    """Several scans as one list of files, each path once."""
+    out = scans[0]
+    for more in scans[1:]:
+        out = out.unionByName(more)
+    return out.dropDuplicates(["rel_path"])
+
+
 def scan_inbox(spark: SparkSession, root: str, least: int = 20) -> DataFrame:
     """Markdown and text files whose body, without front matter, has at least so many characters."""
     from marlstone.functions import text as tx

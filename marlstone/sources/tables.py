@@ -2,25 +2,62 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of paths."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path_of
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; a version that a broken swap has left aside comes back first."""
+    fs, path_of = _files(spark, path)
+    if not fs.exists(path_of(path)) and fs.exists(path_of(f"{path}.before")):
+        fs.rename(path_of(f"{path}.before"), path_of(path))
+    return fs.exists(path_of(path))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at a path with a declared schema, or an empty one where there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(schema).parquet(path) if fs.exists(hadoop) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write a new version of a table that ``df`` may still read, and put it in the old one's place."""
+    """Write a new version of a table that ``df`` may still read, and put it in the old one's place.
+
+    The old version is renamed aside before the new one takes its name, and goes last: a run
+    that ends in between leaves a whole version, which the next reader finds.
+    """
     spark = df.sparkSession
     staged = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path_of(path), True)
+    fs, path_of = _files(spark, path)
+    if exists(spark, path):
+        fs.delete(path_of(f"{path}.before"), True)
+        if not fs.rename(path_of(path), path_of(f"{path}.before")):
+            raise OSError(f"could not move {path} aside")
     if not fs.rename(path_of(staged), path_of(path)):
         raise OSError(f"could not move {staged} to {path}")
+    fs.delete(path_of(f"{path}.before"), True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table or a part of it."""
+    fs, path_of = _files(spark, path)
+    fs.delete(path_of(path), True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once, in the folder that all executors share, for plans that read it several times."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
+    return df.checkpoint()

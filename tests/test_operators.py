@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import analytics, ferment, fusion, graph, ledger, retrieval
-from marlstone.plans import ingest
+from marlstone.plans import ingest, nightly
 from marlstone.session import Store
 from marlstone.sources import embed, extractors, files, tables
 from marlstone.streaming.ingest import append_chunks, stream_texts
@@ -82,7 +82,7 @@ def test_vault_ingest(spark, tmp_path):
     run = lambda dry=False: {r.rel_path: r.status for r in ingest.ingest(spark, str(vault), store, routes, rules, "notes", F.lit("2024-05-01").cast("timestamp"), dry_run=dry).collect()}
     assert set(run(True).values()) == {"new"} and not (tmp_path / "store").exists()
     assert set(run().values()) == {"new"} and set(run().values()) == {"unchanged"}
-    chunks = spark.read.parquet(store.chunks)
+    chunks = ingest.live_chunks(spark, store)
     by = {r.source: r for r in chunks.where("chunk_index = 1").collect()}
     assert by["规范/消防.md"].collection == "codes" and by["短.md"].collection == "short" and by["bad.md"].collection == "notes"
     assert by["规范/消防.md"].title == "设计要点" and by["规范/消防.md"].links == ["方案", "GB50016"] and by["规范/消防.md"].tags == ["消防"] and by["规范/消防.md"].chunk_id == "规范/消防.md#001"
@@ -90,7 +90,7 @@ def test_vault_ingest(spark, tmp_path):
     (vault / "短.md").write_text("新的内容")
     (vault / "bad.md").unlink()
     assert {k: v for k, v in run().items() if v != "unchanged"} == {"短.md": "changed", "bad.md": "deleted"}
-    left = spark.read.parquet(store.chunks)
+    left = ingest.live_chunks(spark, store)
     assert left.where("source = 'bad.md'").count() == 0 and left.where("source = '短.md'").first().document == "新的内容"
     assert {r.rel_path for r in spark.read.parquet(store.ledger).collect()} == {"规范/消防.md", "短.md", "x+y z.md"}
 
@@ -134,7 +134,8 @@ def test_graph_and_ferment(spark):
 
 def test_gaps_and_roll_up(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4), ("b", 2), ("c", 0), ("c", 1)], "source string, chunk_index int")
-    assert [(r.source, r.missing) for r in analytics.chunk_gaps(rows).collect()] == [("a", [2, 3])]
+    assert [tuple(r) for r in analytics.chunk_gaps(rows).collect()] == [("a", 1, 4, 2)]
+    assert [tuple(r) for r in analytics.gap_summary(rows).collect()] == [("a", 1, 4, 2, 2)]
     probes = spark.createDataFrame([("x", "ok"), ("x", "warn"), ("y", "fail"), ("z", "ok")], "g string, status string")
     assert {r.g: r.health for r in analytics.roll_up(probes, "g").collect()} == {"x": "warning", "y": "critical", "z": "healthy"}
 
@@ -163,3 +164,75 @@ def test_tables(spark, tmp_path):
     for _ in range(2):
         tables.replace(tables.read_or_empty(spark, path, "a long").unionByName(spark.createDataFrame([(1,)], "a long")), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_a_broken_swap_leaves_a_table(spark, tmp_path):
+    path = tmp_path / "t"
+    tables.replace(spark.createDataFrame([(1,)], "a long"), str(path))
+    path.rename(tmp_path / "t.before")  # ended after the old version went aside
+    assert tables.read_or_empty(spark, str(path), "a long").count() == 1
+    tables.replace(spark.createDataFrame([(2,)], "a long"), str(path))
+    assert [r.a for r in spark.read.parquet(str(path)).collect()] == [2] and not (tmp_path / "t.before").exists()
+
+
+def test_ingest_of_blank_notes_failed_embeddings_and_failed_runs(spark, tmp_path):
+    vault, store = tmp_path / "v", Store(str(tmp_path / "s"))
+    vault.mkdir()
+    (vault / "blank.md").write_text("\n\n　\n")
+    (vault / "odd.md").write_text("\x1c")
+    (vault / "a.md").write_text("first note")
+    (vault / "b.md").write_text("bad note")
+
+    def client(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [[1.0, 2.0] for _ in texts]
+
+    none = (spark.createDataFrame([], "top_folder string, collection string"), spark.createDataFrame([], "match string, collection string, chunk_size int, overlap int"))
+    run = lambda **more: {r.rel_path: r.status for r in ingest.ingest(spark, str(vault), store, *none, "notes", F.lit("2024-05-01").cast("timestamp"), embedding=lambda c: embed.embed(c, client, batch=1, retries=0), **more).collect()}
+    assert run() == {"a.md": "new", "b.md": "new"} and set(run().values()) == {"unchanged"}
+    assert [r.source for r in ingest.live_chunks(spark, store).collect()] == ["a.md"]
+    # a run that ended before its ledger leaves rows that nothing names
+    spark.read.parquet(store.chunks).drop("run").write.parquet(f"{store.chunks}/run=failed")
+    assert ingest.live_chunks(spark, store).count() == 1
+    (vault / "blank.md").write_text("now with text")
+    assert run()["blank.md"] == "new" and ingest.live_chunks(spark, store).count() == 2
+    ingest.compact(spark, store)
+    assert ingest.live_chunks(spark, store).count() == 2 and spark.read.parquet(store.chunks).count() == 2
+    assert set(run().values()) == {"unchanged"} and set(run(full=True).values()) == {"new"} and ingest.live_chunks(spark, store).count() == 2
+
+
+def test_nightly_run(spark, tmp_path):
+    store = Store(str(tmp_path / "s"))
+    link = lambda *names: [(n.lower(), n) for n in names]
+    notes = spark.createDataFrame([("n1", link(*["A"] * 9, *["B"] * 3, "C")), ("n2", link("A", "B"))], "source string, links array<struct<concept_id: string, display: string>>")
+    corpus = spark.createDataFrame([(f"c{i}", f"s{i % 3}", f" fact {i} ", [1.0, i / 10]) for i in range(12)], "chunk_id string, source string, document string, embedding array<float>")
+    encode = lambda c: F.array(F.lit(1.0), F.lit(0.0))
+    night = lambda n, rows=notes: nightly.run(spark, rows, corpus, store, F.lit(f"2024-05-{n:02d}").cast("timestamp"), f"night{n}", encode).first().asDict()
+    first = night(1)
+    assert (first["stubs_created"], first["enriched"], first["pages"]) == (3, 0, 3)
+    second = night(2)
+    assert (second["upgrades_basic"], second["upgrades_full"], second["enriched"], second["timeline_entries"]) == (2, 1, 2, 0)
+    pages = {r.concept_id: r for r in nightly.concepts(spark, store).collect()}
+    assert pages["a"].enrichment_level == 2 and pages["a"].related == ["b", "c"] and len(pages["a"].key_facts) == 8 and pages["a"].confidence == 0.55 and not pages["a"].needs_review
+    assert pages["a"].key_facts[0] == "fact 0" and pages["b"].confidence == 0.5 and len(pages["b"].key_facts) == 5 and pages["c"].summary is None and pages["a"].open_questions
+    entries = {(r.concept_id, r.seq): r.event for r in nightly.timeline(spark, store).collect()}
+    assert set(entries) == {("a", 1), ("b", 1), ("c", 1), ("a", 2), ("b", 2)}
+    night(2)  # again: nothing more
+    assert nightly.timeline(spark, store).count() == 5
+    night(9, notes.where("source = 'n2'"))
+    pages = {r.concept_id: r for r in nightly.concepts(spark, store).collect()}
+    assert pages["a"].mention_count == 1 and pages["a"].enrichment_level == 0 and pages["c"].last_seen.day == 2 and pages["a"].first_seen.day == 1
+    gone = nightly.clean_up(spark, store, F.lit("2024-06-05").cast("timestamp"))
+    assert {r.concept_id for r in gone.collect()} == {"c"} and nightly.concepts(spark, store).count() == 2
+
+
+def test_scans_of_vault_and_hub(spark, tmp_path):
+    for path in ("a.md", "backups/b.md", "_system/c.md", "x/Conflict y.md", "d.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x" * 60)
+    (tmp_path / "small.md").write_text("x")
+    names = lambda df: {r.rel_path for r in df.collect()}
+    assert names(files.scan_hub(spark, str(tmp_path))) == {"a.md", "x/Conflict y.md"}  # Spark lists nothing below _system
+    assert names(files.scan_vault(spark, str(tmp_path))) == {"a.md", "backups/b.md"}
+    assert files.merged(files.scan_hub(spark, str(tmp_path)), files.scan_vault(spark, str(tmp_path))).count() == 3
