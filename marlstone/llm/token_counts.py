@@ -2,9 +2,10 @@
 
 A pre-token's count is the number of pieces in its likeliest segmentation.  The forward score
 of a prefix (the best log-probability of reaching its end, and the pieces used) depends on
-nothing behind it, so pre-tokens with a common prefix share its scores: the distinct
-pre-tokens of a batch are put in order, which lays out their trie depth first, each edge is
-scored once, and the count at every terminal goes into a bounded memo of the worker.
+nothing behind it, so pre-tokens with a common prefix share its scores: distinct pre-tokens
+are inserted in a trie that a worker keeps over its batches, a node is scored when it is first
+reached, and the count at every terminal goes into a bounded memo.  A full trie starts anew;
+that changes no count.
 
 The pieces come from a public vocabulary file in rank order; no tokenizer is trained.  Rank r
 (from 0) of n pieces has probability 1 / ((r + 1) H(n)), kept as whole micro-nats so that sums
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.memo import Memo
 
-MEMO_WORDS = 300_000
+MEMO_WORDS, TRIE_NODES = 300_000, 400_000
 # fixed value: contractions, words and numbers and symbols with the blank before them, other white space
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,28 +47,39 @@ class Unigram:
             self.reach[piece[-1]] = max(self.reach[piece[-1]], len(piece))
         self.pretoken = regex.compile(pretoken)
         self.memo = Memo(MEMO_WORDS)
+        self._clear()
 
     def terminal_counts(self, words: Iterable[bytes]) -> dict[bytes, int]:
         """Pieces in the best segmentation of every word."""
-        out: dict[bytes, int] = {}
-        last = b""
-        score, used = [0], [0]  # of the prefixes of the last word: a path of the trie
-        for word in sorted(words):
-            shared, most = 0, min(len(last), len(word))
-            while shared < most and last[shared] == word[shared]:
-                shared += 1
-            del score[shared + 1 :], used[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best = None
-                for start in range(max(0, end - self.reach[word[end - 1]]), end):
-                    c = self.cost.get(word[start:end])
-                    if c is not None and (best is None or (score[start] + c, used[start] + 1) < best):
-                        best = (score[start] + c, used[start] + 1)
-                score.append(best[0])
-                used.append(best[1])
-            out[word] = used[-1]
-            last = word
-        return out
+        return {word: self._insert(word) for word in words}
+
+    def _insert(self, word: bytes) -> int:
+        if len(self.score) > TRIE_NODES:
+            self._clear()
+        edges, score, used, cost = self.edges, self.score, self.used, self.cost.get
+        node, path = 0, [0]
+        for end, byte in enumerate(word, 1):
+            edge = node << 8 | byte
+            node = edges.get(edge)
+            if node is None:
+                best = most = None
+                for start in range(max(0, end - self.reach[byte]), end):
+                    c = cost(word[start:end])
+                    if c is not None:
+                        at = path[start]
+                        s, n = score[at] + c, used[at] + 1
+                        if best is None or s < best or s == best and n < most:
+                            best, most = s, n
+                node = edges[edge] = len(score)
+                score.append(best)
+                used.append(most)
+            path.append(node)
+        return used[node]
+
+    def _clear(self) -> None:
+        """The root alone: nodes have the score and the pieces of their prefix, ``edges`` a child by node and byte."""
+        self.edges: dict[int, int] = {}
+        self.score, self.used = [0], [0]
 
     def count_batch(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """Tokens and pre-tokens of every text."""

@@ -6,13 +6,16 @@ that lexicon and of the writing, and the isotonic map from the trees' probabilit
 share of toxic documents.  The labelled rows are a sample of bounded size (``max_rows``);
 every document is scored by its whole text.
 
-Null and empty texts have all features 0 and get a score like any other.  If the labelled
-rows hold fewer than two classes, every score is the share of toxic rows (0 without rows).
+Null and empty texts have all features 0 and get a score like any other.  Several labels of
+one key count as toxic if any is.  If the labelled rows hold fewer than two classes, or too few
+to fill the folds, the model ranks nothing (``trees`` is None) and every score is the share of
+toxic rows (0 without rows).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,29 +47,86 @@ _MARKS = re.compile(r"[^\w\s]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
+class Writing:
+    """Dense features of texts under one lexicon (entries to log-odds of words and of beginnings).
+
+    No feature but one looks beyond white space, so every distinct token is measured once and
+    kept in a table of bounded size; a text's sums are those of its tokens.
+    """
+
+    TOKENS = 200_000
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.words, self.stems = words, stems
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1_024, 14))
+
+    def _measure(self, token: str) -> tuple[float, ...]:
+        low = token.lower()
+        core = low.rstrip(".,;:!?")
+        if core.isalpha():  # one word and the marks behind it
+            word, stem = core in self.words, len(core) > STEM and core[:STEM] in self.stems
+            odds, more = self.words[core] if word else 0.0, self.stems[core[:STEM]] if stem else 0.0
+            capitals = 0 if token == low else sum(map(str.isupper, token))
+            shout = capitals and len(core) > 2 and token[: len(core)].isupper()
+            return (1, word, odds, stem, more, word or stem, core in SECOND_PERSON, 0, 0, capitals, shout, len(low) - len(core), odds, more)
+        words = _WORD.findall(low)
+        by_word = [self.words[w] for w in words if w in self.words]
+        by_stem = [self.stems[w[:STEM]] for w in words if w[:STEM] in self.stems and len(w) > STEM]
+        hits = sum(w in self.words or (w[:STEM] in self.stems and len(w) > STEM) for w in words)
+        tangled = _TANGLED.findall(low)
+        hidden = sum(any(_NOT_LETTER.sub("", x) in self.words for x in (t, *(t.translate(d) for d in DISGUISES))) for t in tangled)
+        capitals = sum(map(str.isupper, token))
+        shouted = sum(w.isupper() and len(w) > 2 for w in _WORD.findall(token)) if capitals else 0
+        return (
+            len(words), len(by_word), sum(by_word), len(by_stem), sum(by_stem), hits, sum(w in SECOND_PERSON for w in words),
+            len(tangled), hidden, capitals, shouted, len(_MARKS.findall(token)), max(by_word, default=0.0), max(by_stem, default=0.0),
+        )
+
+    def _rows(self, tokens) -> list[int]:
+        at = list(map(self.at.get, tokens))
+        if None in at:
+            if len(self.at) > self.TOKENS:
+                self._clear()
+            fresh = [t for t, known in zip(tokens, map(self.at.get, tokens), strict=True) if known is None]
+            first, last = len(self.at), len(self.at) + len(fresh)
+            self.at.update(zip(fresh, range(first, last), strict=True))
+            while last > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first:last] = [self._measure(t) for t in fresh]
+            at = list(map(self.at.get, tokens))
+        return at
+
+    def features(self, text: str | None) -> list[float]:
+        """Dense features of a whole text, in the order of ``FEATURES``."""
+        text = text or ""
+        counts = Counter(text.split())
+        at = self._rows(counts)  # may put a larger table in place
+        rows = self.table[at] if at else np.zeros((1, 14))
+        sums = (np.fromiter(counts.values(), float, len(at)) @ rows).tolist() if at else rows[0].tolist()
+        tokens, by_word, word_odds, by_stem, stem_odds, at, second, tangled, hidden, capitals, shouted, marks = sums[:12]
+        word_peak, stem_peak = rows[:, 12].max(), rows[:, 13].max()
+        n, chars = max(1, tokens), max(1, len(text))
+        return [
+            np.log1p(by_word), np.log1p(word_odds), word_odds / n, word_peak, np.log1p(by_stem), np.log1p(stem_odds), stem_odds / n, stem_peak,
+            np.log1p(hidden), hidden / n, self._near(text) / at if at and second else 0.0, second / n if at else 0.0,
+            capitals / chars, shouted / n, marks / chars, text.count("!") / n, tangled / n, np.log1p(tokens),
+        ]
+
+    def _near(self, text: str) -> int:
+        """Hits of the lexicon with a second person among the three words on either side."""
+        tokens = _WORD.findall(text.lower())
+        second = np.concatenate([[0], np.cumsum([t in SECOND_PERSON for t in tokens])])
+        hits = [i for i, t in enumerate(tokens) if t in self.words or (t[:STEM] in self.stems and len(t) > STEM)]
+        return sum(second[min(len(tokens), i + 4)] > second[max(0, i - 3)] for i in hits)
+
+
 def features(text: str | None, words: dict[str, float], stems: dict[str, float]) -> list[float]:
-    """Dense features of a whole text, in the order of ``FEATURES``; lexicons map entries to log-odds."""
-    text = text or ""
-    low = text.lower()
-    tokens = _WORD.findall(low)
-    n, chars = max(1, len(tokens)), max(1, len(text))
-    by_word = [i for i, t in enumerate(tokens) if t in words]
-    by_stem = [i for i, t in enumerate(tokens) if t[:STEM] in stems and len(t) > STEM]
-    at = sorted({*by_word, *by_stem})
-    word_odds, stem_odds = [words[tokens[i]] for i in by_word], [stems[tokens[i][:STEM]] for i in by_stem]
-    near = sum(any(t in SECOND_PERSON for t in tokens[max(0, i - 3) : i + 4]) for i in at)
-    tangled = _TANGLED.findall(low)
-    hidden = 0
-    for t in tangled:
-        hidden += any(_NOT_LETTER.sub("", x) in words for x in (t, *(t.translate(d) for d in DISGUISES)))
-    shouted = sum(t.isupper() and len(t) > 2 for t in _WORD.findall(text)) if any(map(str.isupper, text)) else 0
-    return [
-        np.log1p(len(by_word)), np.log1p(sum(word_odds)), sum(word_odds) / n, max(word_odds, default=0.0),
-        np.log1p(len(by_stem)), np.log1p(sum(stem_odds)), sum(stem_odds) / n, max(stem_odds, default=0.0),
-        np.log1p(hidden), hidden / n, near / max(1, len(at)), sum(t in SECOND_PERSON for t in tokens) / n if at else 0.0,
-        sum(map(str.isupper, text)) / chars, shouted / n, len(_MARKS.findall(text)) / chars, text.count("!") / n,
-        len(tangled) / n, np.log1p(len(tokens)),
-    ]
+    """Dense features of one text; lexicons map entries to log-odds."""
+    return Writing(words, stems).features(text)
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE, support: int = 4, odds: float = 8.0) -> DataFrame:
@@ -105,9 +165,9 @@ def add_features(df: DataFrame, lexicon: list[tuple[str, str, float]], text: str
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, stems = ({e: odds for s, e, odds in shared.value if s == species} for species in LEXICON_SPECIES)
+        writing = Writing(*({e: odds for s, e, odds in shared.value if s == species} for species in LEXICON_SPECIES))
         for texts in batches:
-            yield pd.DataFrame([features(t, words, stems) for t in texts], columns=list(FEATURES), dtype=float)
+            yield pd.DataFrame([writing.features(t) for t in texts], columns=list(FEATURES), dtype=float)
 
     kept = [c for c in df.columns if c != out]
     rows = df.withColumn("_dense", run(F.col(text))).select(*kept, *[F.col(f"_dense.{c}").alias(f"_f_{c}") for c in FEATURES])
