@@ -6,8 +6,10 @@ training mask goes with it: only the assistant's own words (and their end mark)
 
 The result has one row per conversation, perspective and message, with the rendered piece,
 its mask and its character span in the rendered dialogue, so no dialogue is ever gathered in
-one row or task; the spans come from running sums in two steps, over stretches of turns and
-within them.  All of it is DataFrame operations.
+one row; the spans come from running sums in two steps, over stretches of turns and within
+them.  Messages of one conversation whose turns are null or fall in one stretch are summed in
+one sorted task for each perspective (it spills, and holds one row at a time).  All of it is
+DataFrame operations.
 
 Messages are ordered by turn, ties by speaker and text; null turns come first.  A null text is
 empty, a null role speaks as ``unknown``, and rows without a conversation id are one

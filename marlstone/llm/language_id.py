@@ -7,6 +7,9 @@ of how far the rank in the profile is from the rank in the document, an absent n
 as the profile's full length.  The nearest profile wins; equal distances go to the first
 language in code point order.
 
+Profiles are broadcast, ``MAX_LANGUAGES`` at a time; more languages take more passes over the
+n-grams of a text, each of which hands on its two nearest.
+
 Counting is exact over all whole texts.  A null text, or one without letters, is ``und`` with
 score 0, as is every text when nothing was learned.
 """
@@ -21,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.storage import Scratch
+
 UNDETERMINED = "und"
 PROFILE_SIZE = 300
 MAX_LANGUAGES = 1000
@@ -134,36 +139,50 @@ class Profiles:
         own = np.arange(mine.size)[:, None]
         return np.where(there < 0, self.size, np.abs(there - own)).sum(axis=0) / (mine.size * self.size)
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and distance.  The score is the nearest profile's share of the closeness of the two nearest."""
+    def nearest(self, text: str | None) -> tuple[str | None, float | None, float | None]:
+        """The nearest language, its distance, and that of the next (None where there is none)."""
         d = self.distances(text)
         if d is None:
-            return UNDETERMINED, 0.0, 1.0
+            return None, None, None
         best = int(np.argmin(d))
-        near = 1.0 - np.sort(d)[:2]
-        return self.langs[best], float(near[0] / near.sum()) if near.sum() > 0 else 0.0, float(d[best])
+        return self.langs[best], float(d[best]), float(np.partition(d, 1)[1]) if d.size > 1 else None
 
 
 def identify(df: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1) and ``distance`` (0 to 1) to every row.
 
-    The profiles come to the driver and are broadcast: ``size`` rows for each of at most
-    ``MAX_LANGUAGES`` languages; more languages raise ``ValueError``.
+    The score is the nearest profile's share of the closeness of the two nearest.  Profiles
+    come to the driver and are broadcast in blocks of about ``MAX_LANGUAGES`` languages.
     """
-    rows = profiles.orderBy("lang", "rank").limit(size * MAX_LANGUAGES + 1).toPandas()
-    langs = sorted(set(rows["lang"]))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    at = {name: i for i, name in enumerate(langs)}
-    table = (langs, rows["lang"].map(at).to_numpy(np.int64), rows["rank"].to_numpy(np.int64) - 1, rows["code"].to_numpy(np.int64), size)
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("lang_pred string, score double, distance double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Profiles(*shared.value)
-        for texts in batches:
-            yield pd.DataFrame([model.predict(x) for x in texts], columns=["lang_pred", "score", "distance"])
+    spark, most = df.sparkSession, size * MAX_LANGUAGES
+    whole = profiles.limit(most + 1).toPandas()
+    if len(whole) <= most:
+        parts = [lambda: whole]
+    else:
+        profiles = Scratch(spark, "profiles").keep(profiles, "all")
+        blocks = -(-profiles.select("lang").distinct().count() // MAX_LANGUAGES)
+        dealt = profiles.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks)))
+        parts = [lambda b=b: dealt.where(F.col("block") == b).toPandas() for b in range(blocks)]
+
+    def nearest(rows: pd.DataFrame):
+        langs = sorted(set(rows["lang"]))
+        at = {name: i for i, name in enumerate(langs)}
+        shared = spark.sparkContext.broadcast((langs, rows["lang"].map(at).to_numpy(np.int64), rows["rank"].to_numpy(np.int64) - 1, rows["code"].to_numpy(np.int64), size))
+
+        @F.pandas_udf("lang string, near double, next double")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            model = Profiles(*shared.value)
+            for texts in batches:
+                yield pd.DataFrame([model.nearest(x) for x in texts], columns=["lang", "near", "next"])
+
+        return run(F.col(text))
 
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "distance")]
-    found = df.select(*kept, run(F.col(text)).alias("_found"))
-    return found.select(*kept, "_found.lang_pred", "_found.score", "_found.distance")
+    rows = df.select(F.struct(*kept).alias("row"), *[nearest(part()).alias(f"found{b}") for b, part in enumerate(parts)])
+    each = [F.col(f"found{b}") for b in range(len(parts))]
+    best = F.array_min(F.filter(F.array(*[F.struct(x["near"].alias("near"), x["lang"].alias("lang")) for x in each]), lambda x: x["lang"].isNotNull()))
+    second = F.get(F.array_sort(F.filter(F.array(*[x[c] for x in each for c in ("near", "next")]), lambda d: d.isNotNull())), 1)
+    rows = rows.select("row", best.alias("best"), second.alias("second"))
+    near, other = 1 - F.col("best.near"), F.coalesce(1 - F.col("second"), F.lit(0.0))
+    score = F.when(near + other > 0, near / (near + other)).otherwise(F.lit(0.0))
+    return rows.select("row.*", F.coalesce("best.lang", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce("best.near", F.lit(1.0)).alias("distance"))

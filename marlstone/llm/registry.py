@@ -131,7 +131,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": rf"""
 with captures as (
   select page_id, url, date '2024-01-01' + cast(page_id * 7 % 366 as integer) as day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.') as host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) as path,
     regexp_extract(url, '^[^:]+://[^/?#]+/([^/?#]+)', 1) as step
   from pages),

@@ -16,12 +16,14 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), a temporary one is set."""
+    """The cluster's shared folder; where none is named and the master is local (tests), a temporary one is set."""
     folder = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
     if not folder:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -38,12 +40,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """The intermediate tables of one run of an operator."""
+    """The intermediate tables of one run of an operator; they go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return what was written."""

@@ -124,5 +124,5 @@ def count_tokens(df: DataFrame, vocabulary_path: str, text: str = "text") -> Dat
             yield pd.DataFrame(list(model.count_batch(texts.tolist())), columns=["n_tokens", "n_pretokens"], dtype="int64")
 
     kept = [c for c in df.columns if c not in ("n_tokens", "n_pretokens")]
-    rows = df.select(*kept, run(F.col(text)).alias("_counts"))
-    return rows.select(*kept, "_counts.n_tokens", "_counts.n_pretokens")
+    rows = df.select(F.struct(*kept).alias("row"), run(F.col(text)).alias("counts"))
+    return rows.select("row.*", "counts.n_tokens", "counts.n_pretokens")

@@ -187,9 +187,9 @@ class ToxicityModel:
         if self.trees is None:
             scored = df.select(*kept, F.lit(float(self.constant)).alias("score"))
         else:
-            rows = add_features(df.select(*kept), self.lexicon, text, out="_features")
+            rows = add_features(df.select(F.struct(*kept).alias("_row"), F.col(text).alias("_text")), self.lexicon, "_text", out="_features")
             rows = self.trees.transform(rows).withColumn("_p", vector_to_array("_probability")[1])
-            scored = self.calibration.transform(rows).select(*kept, F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0)).alias("score"))
+            scored = self.calibration.transform(rows).select("_row.*", F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0)).alias("score"))
         return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

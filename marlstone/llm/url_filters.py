@@ -7,9 +7,11 @@ each parent domain, and each path prefix below the host.  The most specific acti
 decides: the longest path prefix, else the longest domain.  ``allow`` entries let a URL pass
 that a wider entry blocks.
 
-Captures of one URL on one day, and keys of one day, are brought together before they are
-shuffled to the list, so a host with a third of all captures weighs no more than its distinct
-URLs; the verdicts go back to the captures by URL and day.  All of it is DataFrame operations.
+Captures of one URL on one day are brought together first, so a host with a third of all
+captures weighs no more than its distinct URLs.  Keys that the list doesn't name, such as a
+top-level domain, go before anything is shuffled by key (where the list is too large to be
+broadcast, by a join); a listed key's captures are dealt over ``SALT`` parts.  The verdicts go
+back to the captures by URL and day.  All of it is DataFrame operations.
 
 A null or host-less URL, or a null date, has no verdict entry and isn't blocked.  Additions and
 removals of an entry on one day: the removal holds.  Repeated list rows change nothing;
@@ -22,9 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LISTED, LISTED_BYTES = 200_000, 16 << 20  # keys of a list that is broadcast
+SALT = 8
+
+
 def url_host(url: Column) -> Column:
-    """Host of an absolute URL in lower case, without user and port; null without one."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Host of an absolute URL in lower case, without user, port and trailing dots; null without one.  An IPv6 host keeps its brackets."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1))
+    host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 
 
@@ -68,14 +75,19 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", day:
     kept = [c for c in captures.columns if c not in added]
     seen = captures.where(F.col(url).isNotNull() & F.col(day).isNotNull()).select(F.col(url).alias("_url"), F.col(day).cast("date").alias("_day")).distinct()
     keyed = seen.select("_url", "_day", F.explode(url_keys(F.col("_url"))).alias("_key")).select("_url", "_day", F.col("_key.kind").alias("kind"), F.col("_key.value").alias("value"), F.col("_key.weight").alias("weight"))
-    asked = keyed.select("kind", "value", "_day").distinct()
     spans = validity(entries)
+    listed = spans.select("kind", "value").distinct()
+    n, size = listed.limit(LISTED + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    keyed = keyed.join(F.broadcast(listed) if n <= LISTED and size <= LISTED_BYTES else listed, ["kind", "value"], "left_semi")
+    asked = keyed.select("kind", "value", "_day").distinct()
     active = asked.join(spans, ["kind", "value"]).where((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
-    hits = keyed.join(active, ["kind", "value", "_day"])
+    active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = keyed.withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALT)).cast("int")).join(active, ["kind", "value", "_day", "_salt"])
     best = hits.groupBy("_url", "_day").agg(F.max_by(F.struct("verdict", "kind", "value", "since"), "weight").alias("_best"))
-    out = captures.select(*kept).join(best, (F.col(url) == F.col("_url")) & (F.col(day).cast("date") == F.col("_day")), "left")
+    rows = captures.select(F.struct(*kept).alias("_row"), F.col(url).alias("_at"), F.col(day).cast("date").alias("_on"))
+    out = rows.join(best, (F.col("_at") == F.col("_url")) & (F.col("_on") == F.col("_day")), "left")
     return out.select(
-        *kept,
+        "_row.*",
         F.coalesce(F.col("_best.verdict") == "block", F.lit(False)).alias("blocked"),
         F.col("_best.kind").alias("matched_kind"), F.col("_best.value").alias("matched_value"), F.col("_best.since").alias("matched_since"),
     )

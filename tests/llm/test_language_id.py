@@ -43,3 +43,22 @@ def test_held_out_accuracy(spark):
     found = op1_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = found.where("held_out and lang is not null")
     assert held.where("lang = lang_pred").count() >= 0.95 * held.count() > 0
+
+
+def test_many_languages_take_several_blocks(spark, monkeypatch):
+    docs = [(f"l{i}", f"{chr(97 + i)}{chr(98 + i)}{chr(99 + i)} " * 3) for i in range(12)]
+    profiles = lid.learn_profiles(spark.createDataFrame(docs, "lang string, text string"), size=10)
+    asked = spark.createDataFrame([*docs, ("none", "1 2"), ("long", docs[4][1] * 30_000)], "doc_id string, text string")
+    one = {r.doc_id: r for r in lid.identify(asked, profiles, size=10).collect()}
+    monkeypatch.setattr(lid, "MAX_LANGUAGES", 3)
+    many = {r.doc_id: r for r in lid.identify(asked, profiles, size=10).collect()}
+    assert one == many and all(one[k].lang_pred == k for k, _ in docs) and one["none"].lang_pred == "und" and one["long"].lang_pred == "l4"
+
+
+def test_learned_counts_match_plain_ones(spark):
+    from collections import Counter
+
+    docs = [("x", "The cat, the hat"), ("x", "the dog"), ("y", "der hund"), ("y", None), (None, "skip")]
+    got = {(r.lang, r.code): r.n for r in lid.learn_profiles(spark.createDataFrame(docs, "lang string, text string").repartition(3), size=10_000).collect()}
+    want = Counter((k, int(c)) for k, t in docs if k and t for c in lid.ngrams(t))
+    assert got == dict(want)

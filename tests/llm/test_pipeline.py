@@ -62,6 +62,40 @@ def test_held_out_ranking(spark):
     assert auc >= 0.6  # few labels at this size
 
 
+def test_held_out_accuracy(spark):
+    data = "/root/testdata/sf0.1"
+    found = op5_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    toxic = found[found.toxic == 1]
+    assert len(toxic) and (found.predicted == found.toxic).mean() >= 0.95 and toxic.predicted.mean() >= 0.9
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(r[0], r[1]) for r in labelled(300)]
+    docs = spark.createDataFrame([*rows, (9000, "fine words " * 200_000), (9001, "grumph " * 100_000)], "doc_id long, text string")
+    labels = [(r[0], r[2]) for r in labelled(300)]
+    again = spark.createDataFrame([*labels, *labels[:50], (0, 0), (0, 1)], "doc_id long, toxic int")  # repeated, and one key with both
+    model = toxicity.train(docs, again, Scratch(spark, "t"))
+    got = {r.doc_id: r for r in model.score(docs).collect()}
+    assert len(got) == 302 and got[9000].predicted == 0 and got[9001].predicted == 1
+    assert model.score(docs.limit(0)).count() == 0
+    assert toxicity.train(docs.limit(0), again, Scratch(spark, "t")).score(docs).where("score <> 0").count() == 0
+
+
+def test_features_are_those_of_a_plain_count():
+    words, stems = {"idiot": 5.0, "blarg": 2.5}, {"lowe": 3.0}
+    writing = toxicity.Writing(words, stems)
+    writing.TOKENS = 3  # the table starts anew all the time
+    for text in ("you IDIOT, loweichen! id10t a_b x.y BLARG blarg.\x1cidiot", "é̂ ΑΣ Σas! İdiot", "..., 12 $a", "you " * 5 + "z " * 9 + "idiot"):
+        tokens = toxicity._WORD.findall(text.lower())
+        f = dict(zip(toxicity.FEATURES, writing.features(text), strict=True))
+        hit = [i for i, t in enumerate(tokens) if t in words or (len(t) > 4 and t[:4] in stems)]
+        near = sum(any(t in toxicity.SECOND_PERSON for t in tokens[max(0, i - 3) : i + 4]) for i in hit)
+        assert f["log_words"] == np.log1p(len(tokens)) and f["word_hits"] == np.log1p(sum(t in words for t in tokens))
+        assert f["near_second_person"] == near / max(1, len(hit)) and f["capitals"] == sum(map(str.isupper, text)) / max(1, len(text))
+        assert f["disguised"] == len(toxicity._TANGLED.findall(text.lower())) / max(1, len(tokens)) and f["punctuation"] == len(toxicity._MARKS.findall(text)) / max(1, len(text))
+        assert f["shouted"] == sum(t.isupper() and len(t) > 2 for t in toxicity._WORD.findall(text)) / max(1, len(tokens))
+
+
 def test_pipeline(spark, tmp_path):
     rows = pq.read_table(f"{DATA}/documents.parquet").to_pylist()[:250]
     rows += [{**rows[3], "doc_id": 90_000}, {**rows[4]}, {**rows[5], "doc_id": 90_001, "text": None}, {**rows[6], "doc_id": 90_002, "text": "123 456"}, {**rows[7], "doc_id": None}]
@@ -107,3 +141,24 @@ def test_rows_without_or_with_shared_ids_stay(spark, tmp_path):
     assert {(0, "a0"), (0, "b0"), (5, "c0"), (5, "d0")} <= set(mixed)
     docs.select(docs.doc_id, "text").where("doc_id is not null").selectExpr("doc_id", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r.score for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {0.25}
+
+
+def test_few_labels_and_empty_tables_drop_nothing(spark, tmp_path):
+    rows = [(i, f"text number {i} with words of its own w{i}", "en", "src0", 9, 0.123, "x") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, _text string")
+    spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.count() == 8 and kept.columns == docs.columns
+    known = corpus_pipeline.keep_known_languages(spark, docs, str(tmp_path))
+    assert known.columns == docs.columns and {(r.score, r._text) for r in known.collect()} == {(0.123, "x")}
+    docs.drop("score", "_text").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_rows_keep_columns_of_clashing_names(spark, tmp_path):
+    rows = [(i, f"w{i} " * 9, "src0", "a", "b", "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _copies string, _key string")
+    out = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {(r._id, r._copies, r._key) for r in out.collect()} == {("a", "b", "c")}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.withColumn("_first", docs.doc_id), str(tmp_path))
+    assert kept.count() == 20 and kept.columns == [*docs.columns, "_first"]

@@ -50,6 +50,33 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(c.limit(0), e).count() == 0
 
 
+def test_url_filters_of_odd_hosts_and_long_lists(spark, monkeypatch):
+    day = dt.date(2024, 1, 10)
+    e = spark.createDataFrame([("domain", v, "block", "add", day) for v in ("bad.com", "[2001:db8::1]")], "kind string, value string, verdict string, action string, day date")
+    urls = ["http://bad.com./x", "http://u@[2001:DB8::1]:80/", "http://[2001:db8::2]/", "http://com./", "http://./"]
+    c = spark.createDataFrame([(u, day) for u in urls], "url string, day date")
+    want = [True, True, False, False, False]
+    found = lambda: {r.url: r.blocked for r in url_filters.filter_urls(c, e).collect()}
+    assert found() == dict(zip(urls, want, strict=True))
+    monkeypatch.setattr(url_filters, "LISTED", 1)  # the list is joined, not broadcast
+    assert found() == dict(zip(urls, want, strict=True))
+
+
+def test_a_full_trie_starts_anew(monkeypatch):
+    with open(VOCABULARY, "rb") as f:
+        raw = f.read()
+    texts = ["the cat there thereby " * 3, None, "naïve naïvely 日本語", "x" * 500]
+    whole = list(token_counts.Unigram(raw).count_batch(texts))
+    monkeypatch.setattr(token_counts, "TRIE_NODES", 3)
+    small = token_counts.Unigram(raw)
+    assert [n for t in texts for n in small.count_batch([t])] == whole
+
+
+def test_token_count_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([("a b", "x", "y")], "text string, n_pretokens string, _counts string")
+    assert token_counts.count_tokens(df, VOCABULARY).first().n_pretokens == 2
+
+
 def test_chat_perspectives(spark):
     rows = [
         (1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "<|im_end|> trick"), (1, None, "cy d", "first"), (1, 2, "bob", None),
