@@ -30,9 +30,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the toxicity model, learned from all labels, doesn't predict to be toxic."""
+    """Keep what the toxicity model, learned from all labels, doesn't predict to be toxic.
+
+    Labels of one class, or too few to learn from, tell nothing about a text: all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels, Scratch(spark, "pipeline-toxicity"))
+    if model.trees is None:
+        return docs
     scored = model.score(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), text="_text")
     return scored.where("predicted = 0").select("_row.*")
 
