@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ SIZE, OVERLAP, LEAST = 450, 100, 50
 # fixed values: where a text may be cut, the coarsest place first
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ")
 WHOLE_NOTE = 300
+# fixed values: paths of parts without a heading, and of a note that isn't cut
+PREFACE, UNNAMED, WHOLE = "(前言)", "(未命名)", "(整篇)"
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP, strip: bool = True) -> Column:
@@ -108,23 +111,18 @@ _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*")
 
 
 def sections(text: str) -> list[tuple[str, str]]:
-    """``(path, text)`` of a note's parts between headings of the second and third level.
+    """``(path, text)`` of a note's parts, cut before its headings of the second and third level.
 
-    The path names the last headings of level one and two; a heading of level one opens no part.
+    A path names the headings of level one and two that hold at the cut; one of level one ends
+    what held before, and opens no part.
     """
-    top = second = ""
-    parts: list[tuple[str, list[str]]] = [("(前言)", [])]
-    for line in text.splitlines():
-        m = _HEADING.fullmatch(line)
-        level, name = (len(m[1]), m[2].strip()) if m else (0, "")
-        if level == 1:
-            top, second = name, ""
-        if level in (2, 3):
-            second = name if level == 2 else second
-            parts.append(("/".join(filter(None, (top, second))) or "(未命名)", []))
-        parts[-1][1].append(line)
-    joined = ((path, "\n".join(lines).strip()) for path, lines in parts)
-    return [(path, body) for path, body in joined if body]
+    lines = text.splitlines()
+    heads = [(n, len(m[1]), m[2].strip()) for n, m in enumerate(map(_HEADING.fullmatch, lines)) if m]
+    holding = accumulate(heads, lambda at, h: (h[2], "") if h[1] == 1 else (at[0], h[2]) if h[1] == 2 else at, initial=("", ""))
+    cuts = [(h[0], "/".join(filter(None, at)) or UNNAMED) for h, at in zip(heads, islice(holding, 1, None), strict=True) if h[1] in (2, 3)]
+    ends = [*(n for n, _ in cuts), len(lines)]
+    parts = [(path, "\n".join(lines[a:b]).strip()) for (a, path), b in zip([(0, PREFACE), *cuts], ends, strict=True)]
+    return [part for part in parts if part[1]]
 
 
 def note_chunks(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, str]]:
@@ -133,7 +131,7 @@ def note_chunks(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> l
     if not body:
         return []
     if len(body) < WHOLE_NOTE:
-        return [("(整篇)", body)]
+        return [(WHOLE, body)]
     step, out = max(size - overlap, 1), []
     for path, part in sections(body):
         cut = [part] if len(part) <= size else [part[i : i + size].strip() for i in range(0, max(1, len(part) - size + step), step)]

@@ -127,6 +127,11 @@ def short_hash(text: Column, digits: int) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, digits)
 
 
+def row_id(prefix: str, key: Column, index: Column) -> Column:
+    """``prefix_hash_index``: an id that follows from what a row is made of."""
+    return F.concat_ws("_", F.lit(prefix), short_hash(key, 8), index.cast("string"))
+
+
 def preview(text: Column, width: int = 70) -> Column:
     """The first characters of the normalised text, with an ellipsis if it goes on."""
     clean = normalize_text(text)

@@ -26,6 +26,11 @@ def breakdown(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def volume(df: DataFrame, size: str = "size") -> DataFrame:
+    """One row: files, their bytes together, and the largest."""
+    return df.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"), F.max(size).cast("long").alias("largest"))
+
+
 def expired(df: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
     """Sources with rows older than so many whole days: their number, the oldest and its age, oldest first; the scan gets the bound."""
     old = df.where(F.col("ts") <= as_of - F.make_dt_interval(F.lit(days + 1)))

@@ -43,14 +43,22 @@ def level(count):
     return F.when(count >= 8, 2).when(count >= 3, 1).otherwise(0)
 
 
+HUB = 1_000
+
+
 def related(edges: DataFrame, k: int = 5) -> DataFrame:
     """``concept_id, rank, related_id, shared``: concepts that share most sources, ties by id.
 
-    The self-join meets on the source.  A source that mentions many concepts is a hot key: its
-    side is split by the adaptive skew join, and counts are combined before they are shuffled.
+    The self-join meets on the source.  A source that mentions more than ``HUB`` concepts is cut
+    into parts of about that many, and every two parts meet under a key of their own, so no
+    task has all pairs of a hub; counts are combined before they are shuffled.
     """
-    left, right = edges.select("source", "concept_id"), edges.select("source", F.col("concept_id").alias("related_id"))
-    shared = left.join(right, "source").where("concept_id <> related_id").groupBy("concept_id", "related_id").agg(F.count(F.lit(1)).alias("shared"))
+    parts = edges.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("long").alias("parts"))
+    rows = edges.select("source", "concept_id").join(parts, "source")
+    own, every = F.pmod(F.xxhash64("concept_id"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = rows.select("source", "concept_id", own.alias("one"), every.alias("two"))
+    right = rows.select("source", F.col("concept_id").alias("related_id"), every.alias("one"), own.alias("two"))
+    shared = left.join(right, ["source", "one", "two"]).where("concept_id <> related_id").groupBy("concept_id", "related_id").agg(F.count(F.lit(1)).alias("shared"))
     order = Window.partitionBy("concept_id").orderBy(F.desc("shared"), "related_id")
     return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("concept_id", "rank", "related_id", "shared")
 

@@ -88,6 +88,25 @@ def maxsim(spark, d):
     return dense_topk(spark, d).join(asked, "query_id").join(held, "id").select("query_id", "id", vec.max_sim(F.col("q"), F.col("v")).alias("score"))
 
 
+# the embedder of text queries: how often each letter occurs
+_LETTERS = "list_transform(range(26), lambda i: (length(lower({c})) - length(replace(lower({c}), chr((97 + i)::int), '')))::double)"
+
+
+def _letters(text):
+    low = F.lower(text)
+    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i)))).cast("double"))
+
+
+@query(f"""
+with q as (select item_id as query_id, {_LETTERS.format(c="text")} as a from benchmark where trim(text) <> ''), c as (select doc_id as id, {_LETTERS.format(c="text")} as b from documents where text is not null),
+d as (select query_id, id, case when list_dot_product(a, a) > 0 and list_dot_product(b, b) > 0 then round(1 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) + 0.0 else 1.0 end as distance from q, c)
+select query_id, row_number() over (partition by query_id order by distance, id) as rank, id, distance from d qualify rank <= 10""")
+def text_query(spark, d):
+    """The benchmark's texts ask the documents through an embedder."""
+    corpus = _read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), _letters(F.col("text")).alias("vector"))
+    return retrieval.text_topk(_read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus, _letters, 10)
+
+
 # ----- text functions
 
 _TOKENS = r"list_transform(list_filter(regexp_extract_all(coalesce({c}, ''), '[\x{{4e00}}-\x{{9fa5}}]+|[A-Za-z0-9._-]+'), lambda t: length(t) > 1), lambda t: lower(t))"
@@ -449,6 +468,16 @@ def content_hash(spark, d):
     return _read(spark, d, "documents").select("doc_id", tx.short_hash(F.col("text"), 12).alias("content_hash"), F.sha2("text", 256).alias("sha256"))
 
 
+@query("select doc_id, 'doc_' || left(md5(text), 8) || '_' || doc_id as row_id from documents where text is not null")
+def row_ids(spark, d):
+    return _read(spark, d, "documents").where("text is not null").select("doc_id", tx.row_id("doc", F.col("text"), F.col("doc_id")).alias("row_id"))
+
+
+@query("select count(*) as files, sum(strlen(text))::bigint as bytes, max(strlen(text))::bigint as largest from documents")
+def volume(spark, d):
+    return analytics.volume(_read(spark, d, "documents").select(F.octet_length("text").alias("size")))
+
+
 @query("select left(md5(text), 12) as content_hash, min(doc_id) as first_id, count(*) as copies from documents group by 1")
 def dedup_exact(spark, d):
     return ledger.first_of_content(_read(spark, d, "documents"), "text", "doc_id")

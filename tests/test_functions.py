@@ -112,3 +112,22 @@ def test_heading_chunks():
     assert [p for p, _ in chunk.note_chunks(body)] == ["(前言)", "A/B", "A/B"]
     long = "## S\n" + "y" * 1000
     assert all(len(c) <= 450 for _, c in chunk.note_chunks(long)) and len(chunk.note_chunks(long)) == 3
+
+
+def test_sections_by_hand():
+    text = "intro\n## two\nb\n# One\nunder one\n### three\nc\n## \nd\n#### four\ne\n# Next\n### deep\nf"
+    want = [("(前言)", "intro"), ("two", "## two\nb\n# One\nunder one"), ("One", "### three\nc"), ("One", "## \nd\n#### four\ne\n# Next"), ("Next", "### deep\nf")]
+    assert chunk.sections(text) == want
+    assert chunk.sections("### x") == [("(未命名)", "### x")] and chunk.sections("") == []
+    long = "# T\n" + "p" * 500 + "\n## S\n" + "q" * 300
+    cut = chunk.note_chunks(long, 450, 100)
+    assert [(p, len(c)) for p, c in cut] == [("(前言)", 450), ("(前言)", 154), ("T/S", 305)]
+    assert chunk.note_chunks("short") == [("(整篇)", "short")] and chunk.note_chunks(None) == []
+
+
+def test_recursive_chunks_by_hand():
+    cut = lambda t: chunk.recursive_chunks(t, 20, 5, 5)
+    assert cut("abc") == [] and cut("a" * 20) == ["a" * 20]
+    assert cut("first part.\n\nsecond part.\n\nthird part is longer") == ["first part.\n\nsecond part.", "third part is longer"]
+    assert cut("x" * 50) == ["x" * 20, "x" * 20, "x" * 20]
+    assert cut("one two. three four. five six seven") == ["one two. three four", "five six seven"]

@@ -236,3 +236,11 @@ def test_scans_of_vault_and_hub(spark, tmp_path):
     assert names(files.scan_hub(spark, str(tmp_path))) == {"a.md", "x/Conflict y.md"}  # Spark lists nothing below _system
     assert names(files.scan_vault(spark, str(tmp_path))) == {"a.md", "backups/b.md"}
     assert files.merged(files.scan_hub(spark, str(tmp_path)), files.scan_vault(spark, str(tmp_path))).count() == 3
+
+
+def test_related_concepts_of_a_hub(spark, monkeypatch):
+    rows = [("hub", f"c{i}") for i in range(40)] + [("s1", "c1"), ("s1", "c2"), ("s2", "c1"), ("s2", "c3"), ("s3", "c2")]
+    edges = spark.createDataFrame(rows, "source string, concept_id string")
+    whole = sorted(map(tuple, graph.related(edges).collect()))
+    monkeypatch.setattr(graph, "HUB", 7)
+    assert sorted(map(tuple, graph.related(edges).collect())) == whole and ("c1", 1, "c2", 2) in whole and ("c1", 3, "c0", 1) in whole
