@@ -249,6 +249,23 @@ def front_matter(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def front_matter_lists(text: Column) -> Column:
+    """A note's front matter as a map of lists: block lists, ``[a, b]`` lists, and single values as lists of one; the first of a key holds."""
+    head = F.regexp_extract(F.coalesce(text, F.lit("")), FRONT_MATTER, 1)
+    blocks = F.filter(F.split(head, r"\r?\n(?=[^\s:#-][^:\r\n]*:)"), lambda b: b.rlike(r"^[^\s:#-][^:\r\n]*:"))
+    bare = lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", "")
+
+    def items(block: Column) -> Column:
+        inline = F.trim(F.regexp_extract(block, r"^[^:]+:[ \t]*([^\r\n]*)", 1))
+        listed = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+([^\r\n]*)"), F.lit(1))
+        found = F.when(inline.startswith("["), F.split(F.regexp_replace(inline, r"^\[|\]$", ""), ",")).when(inline != "", F.array(inline)).otherwise(listed)
+        return F.filter(F.transform(found, bare), lambda x: x != "")
+
+    pairs = F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, "^([^:]+):", 1)).alias("key"), items(b).alias("value")))
+    once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(once)
+
+
 def tags(text: Column) -> Column:
     """Front-matter tags, from a list, an inline list or a comma string (ASCII or full width)."""
     head = F.regexp_extract(F.coalesce(text, F.lit("")), FRONT_MATTER, 1)

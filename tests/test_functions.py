@@ -131,3 +131,16 @@ def test_recursive_chunks_by_hand():
     assert cut("first part.\n\nsecond part.\n\nthird part is longer") == ["first part.\n\nsecond part.", "third part is longer"]
     assert cut("x" * 50) == ["x" * 20, "x" * 20, "x" * 20]
     assert cut("one two. three four. five six seven") == ["one two. three four", "five six seven"]
+
+
+def test_front_matter_lists(spark):
+    note = "---\ntitle: 'A: b'\ntags:\n  - x\n  - \"y z\"\nlinks: [p, 'q']\nempty:\ntitle: again\n---\nbody"
+    assert value(spark, note, tx.front_matter_lists) == {"title": ["A: b"], "tags": ["x", "y z"], "links": ["p", "q"], "empty": []}
+    assert value(spark, None, tx.front_matter_lists) == {} and value(spark, "no head", tx.front_matter_lists) == {}
+
+
+def test_iso_timestamps(spark):
+    import datetime as dt
+
+    assert value(spark, "2024-05-01T10:20:30.5", tx.timestamp) == dt.datetime(2024, 5, 1, 10, 20, 30, 500_000)
+    assert value(spark, "soon", tx.timestamp) is None and value(spark, None, tx.timestamp) is None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import analytics, ferment, fusion, graph, ledger, retrieval
 from marlstone.plans import ingest, nightly
 from marlstone.session import Store
-from marlstone.sources import embed, extractors, files, tables
+from marlstone.sources import config, embed, extractors, files, tables
 from marlstone.streaming.ingest import append_chunks, stream_texts
 from marlstone.streaming.windows import daily_counts
 
@@ -244,3 +244,16 @@ def test_related_concepts_of_a_hub(spark, monkeypatch):
     whole = sorted(map(tuple, graph.related(edges).collect()))
     monkeypatch.setattr(graph, "HUB", 7)
     assert sorted(map(tuple, graph.related(edges).collect())) == whole and ("c1", 1, "c2", 2) in whole and ("c1", 3, "c0", 1) in whole
+
+
+def test_routing_and_concept_files(spark, tmp_path):
+    routes, rules, default = config.read_routing(spark, str(tmp_path / "none.yaml"), "all")
+    assert (routes.count(), rules.count(), default) == (0, 0, "all")
+    rule = {"match": "a.md", "collection": "codes", "chunk_size": 1200, "overlap": 200}
+    routes, rules, default = config.routing(spark, {"default": "d", "routes": {"Inbox": "in"}, "file_rules": [rule, {"match": "a.md"}]}, "all")
+    assert [tuple(r) for r in routes.collect()] == [("Inbox", "in")] and [tuple(r) for r in rules.collect()] == [("a.md", "codes", 1200, 200)] and default == "d"
+    (tmp_path / "c.json").write_text('{"a": {"concept_name": "A", "mention_count": 3, "last_seen": "2024-01-02T03:04:05", "compiled_truth": {"summary": "s", "key_facts": ["f"]}}, "b": {}}')
+    (tmp_path / "broken.json").write_text('{"a": {')
+    found = {r.concept_id: r for r in config.read_concepts(spark, str(tmp_path / "c.json")).collect()}
+    assert (found["a"].mention_count, found["a"].key_facts, found["a"].last_seen) == (3, ["f"], dt.datetime(2024, 1, 2, 3, 4, 5)) and found["b"].concept_name == "b"
+    assert config.read_concepts(spark, str(tmp_path / "broken.json")).count() == config.read_concepts(spark, str(tmp_path / "missing.json")).count() == 0
