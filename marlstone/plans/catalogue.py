@@ -93,8 +93,8 @@ _LETTERS = "list_transform(range(26), lambda i: (length(lower({c})) - length(rep
 
 
 def _letters(text):
-    low = F.lower(text)
-    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i)))).cast("double"))
+    counts = lambda low: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i)))).cast("double"))
+    return F.element_at(F.transform(F.array(F.lower(text)), counts), 1)
 
 
 @query(f"""
