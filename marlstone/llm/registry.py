@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, bpe, chat_format, exact_topk, language_id, mixing, ngram_jaccard, token_counts, toxicity, url_filters
+from marlstone.llm import ann, bpe, chat_format, divergence, exact_topk, language_id, mixing, ngram_jaccard, quality, token_counts, toxicity, url_filters, whitening
 from marlstone.llm.storage import Scratch, prepare
 
 WORD_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -112,6 +112,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(rows, F.col("vec_id") % 20 == 0, 20, Scratch(spark, "ann"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, Scratch(spark, "whitening"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence.audit(docs, Scratch(spark, "divergence"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", "quality")
+    model = quality.train(docs, labels, Scratch(spark, "quality"))
+    rows = docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    return model.score(rows).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -123,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_ann": op10_ann,
+    "op11_whitening": op11_whitening,
+    "op12_divergence": op12_divergence,
+    "op13_quality": op13_quality,
 }
 
 _CODE = "(length(value) * 31 + ascii(value) * 7 + ascii(substr(value, 3, 1)) * 13 + ascii(substr(value, 5, 1)) * 5)"
@@ -178,5 +199,32 @@ placed as (
 select conv_id, perspective, turn, seq, speaker, piece, speaker = perspective as learned, "end" - length(piece) as start, "end",
   case when speaker = perspective then "end" - length(piece) + length(head) else "end" end as learned_from
 from placed
+""",
+    "op12_divergence": r"""
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (
+  select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+kept as (select lang, term, count(*) as n from words group by lang, term having count(distinct r) >= 30),
+langs as (select l.lang, count(k.term) as v, coalesce(sum(k.n), 0) as whole from (select distinct lang from docs) l left join kept k on l.lang = k.lang group by l.lang),
+counts as (select w.lang, w.source, w.term, count(*) as n from words w join kept k on w.lang = k.lang and w.term = k.term group by all),
+groups as (
+  select g.lang, g.source, l.v, (select coalesce(sum(n), 0) from counts c where c.lang = g.lang and c.source = g.source) as whole
+  from (select distinct lang, source from docs) g join langs l on g.lang = l.lang),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.whole + 5 * g.v)::hugeint as p
+  from groups g join kept k on g.lang = k.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce((
+    select sum(abs(x.p - y.p)) from shares x join shares y on x.lang = y.lang and x.term = y.term where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source),
+terms as (
+  select s.lang, s.source, s.term as item, (s.p - q)::bigint as value
+  from shares s join (select k.lang, k.term, 1 + (1000000000::hugeint * (k.n + 5)) // (l.whole + 5 * l.v)::hugeint as q from kept k join langs l on k.lang = l.lang) t on s.lang = t.lang and s.term = t.term
+  where s.n > 0 and s.p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', item, value from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
 """,
 }
