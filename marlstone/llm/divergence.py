@@ -115,7 +115,7 @@ class _Group:
 
     def __init__(self, row):
         counts, self.source = [int(c) for c in row.counts], row.source
-        self.bits = np.frombuffer(b"".join(row.bits), np.uint64).reshape(len(counts), -1)
+        self.bits = np.frombuffer(b"".join(row.bits), np.uint64).reshape(len(counts), -1) if counts else np.zeros((0, 1), np.uint64)
         below = max(1, int(row.whole) + 5 * int(row.kept))  # 0 only where the language keeps no term
         self.p = np.array([1 + BILLION * (c + 5) // below for c in [0, *counts]], np.int64)
         self.sizes = np.bitwise_count(self.bits).sum(1, dtype=np.int64)

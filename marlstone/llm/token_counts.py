@@ -5,7 +5,8 @@ of a prefix (the best log-probability of reaching its end, and the pieces used)
 nothing behind it, so pre-tokens with a common prefix share its scores: distinct pre-tokens
 are inserted in a trie that a worker keeps over its batches, a node is scored when it is first
 reached, and the count at every terminal goes into a bounded memo.  A full trie starts anew;
-that changes no count.
+that changes no count.  Words of more than ``LONG_WORD`` characters share nothing worth keeping:
+their forward pass holds only the scores that a piece can still reach back to.
 
 The pieces come from a public vocabulary file in rank order; no tokenizer is trained.  Rank r
 (from 0) of n pieces has probability 1 / ((r + 1) H(n)), kept as whole micro-nats so that sums
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.memo import Memo
 
 MEMO_WORDS, TRIE_NODES = 300_000, 400_000
+LONG_WORD = 1_024
 # fixed value: contractions, words and numbers and symbols with the blank before them, other white space
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,6 +78,22 @@ class Unigram:
             path.append(node)
         return used[node]
 
+    def long_count(self, word: bytes) -> int:
+        """Pieces in the best segmentation of a word of any length, in room for the longest piece."""
+        cost, room = self.cost.get, max(self.reach) + 1
+        score, used = [0] * room, [0] * room
+        for end, byte in enumerate(word, 1):
+            best = most = None
+            for start in range(max(0, end - self.reach[byte]), end):
+                c = cost(word[start:end])
+                if c is not None:
+                    at = start % room
+                    s, n = score[at] + c, used[at] + 1
+                    if best is None or s < best or s == best and n < most:
+                        best, most = s, n
+            score[end % room], used[end % room] = best, most
+        return used[len(word) % room]
+
     def _clear(self) -> None:
         """The root alone: nodes have the score and the pieces of their prefix, ``edges`` a child by node and byte."""
         self.edges: dict[int, int] = {}
@@ -88,13 +106,15 @@ class Unigram:
             cut.append(self.pretoken.findall(text or ""))
             pending += len(cut[-1])
             if pending > 300_000 or i == len(texts) - 1:
-                fresh = self.memo.missing(set().union(*cut))
+                words = set().union(*cut)
+                long = {w: self.long_count(w.encode("utf-8", "surrogatepass")) for w in words if len(w) > LONG_WORD}
+                fresh = self.memo.missing(words - long.keys())
                 known = self.memo.young
                 by_bytes = {w.encode("utf-8", "surrogatepass"): w for w in fresh}
                 for raw, n in self.terminal_counts(by_bytes).items():
                     known[by_bytes[raw]] = n
                 for words in cut:
-                    yield sum(map(known.__getitem__, words)), len(words)
+                    yield sum(long[w] if w in long else known[w] for w in words) if long else sum(map(known.__getitem__, words)), len(words)
                 cut, pending = [], 0
 
 

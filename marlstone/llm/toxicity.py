@@ -42,11 +42,35 @@ DISGUISES = (str.maketrans("013457@$!|", "oleastasil"), str.maketrans("013457@$!
 FEATURES = ("word_hits", "word_strength", "word_density", "word_peak", "stem_hits", "stem_strength", "stem_density", "stem_peak", "hidden_hits", "hidden_rate", "near_second_person", "second_person", "capitals", "shouted", "punctuation", "exclamations", "disguised", "log_words")
 
 _WORD = re.compile(r"[^\W_]+")
-_TANGLED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._\-]+[^\W\d_]+)+|[^\W\d_]*[0-9@$]+[^\W\d_]+")
+_RUN = re.compile(r"([^\W\d_]+)|([0-9@$!|*._\-]+)")  # letters, or what may stand between them
 _MARKS = re.compile(r"[^\w\s]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
+def tangled(word: str) -> list[str]:
+    """Letter runs that marks or digits join, and those with digits, @ or $ right before them, from left to right.
+
+    One pass over the word's runs, whatever their length.
+    """
+    runs, out, i = [(m.start(), m.end(), m.lastindex == 1) for m in _RUN.finditer(word)], [], 0
+    touch = lambda j: j < len(runs) and runs[j][0] == runs[j - 1][1]
+    while i < len(runs):
+        start, end, letters = runs[i]
+        last = i
+        if letters:
+            while touch(last + 1) and touch(last + 2):  # runs that touch alternate
+                last += 2
+            if last > i:
+                out.append(word[start : runs[last][1]])
+        elif touch(i + 1):
+            sign = len(word[start:end].rstrip("0123456789@$"))
+            if start + sign < end:
+                last = i + 1
+                out.append(word[start + sign : runs[last][1]])
+        i = last + 1
+    return out
+
+
 class Writing:
     """Dense features of texts under one lexicon (entries to log-odds of words and of beginnings).
 
@@ -77,13 +101,13 @@ class Writing:
         by_word = [self.words[w] for w in words if w in self.words]
         by_stem = [self.stems[w[:STEM]] for w in words if w[:STEM] in self.stems and len(w) > STEM]
         hits = sum(w in self.words or (w[:STEM] in self.stems and len(w) > STEM) for w in words)
-        tangled = _TANGLED.findall(low)
-        hidden = sum(any(_NOT_LETTER.sub("", x) in self.words for x in (t, *(t.translate(d) for d in DISGUISES))) for t in tangled)
+        disguised = tangled(low)
+        hidden = sum(any(_NOT_LETTER.sub("", x) in self.words for x in (t, *(t.translate(d) for d in DISGUISES))) for t in disguised)
         capitals = sum(map(str.isupper, token))
         shouted = sum(w.isupper() and len(w) > 2 for w in _WORD.findall(token)) if capitals else 0
         return (
             len(words), len(by_word), sum(by_word), len(by_stem), sum(by_stem), hits, sum(w in SECOND_PERSON for w in words),
-            len(tangled), hidden, capitals, shouted, len(_MARKS.findall(token)), max(by_word, default=0.0), max(by_stem, default=0.0),
+            len(disguised), hidden, capitals, shouted, len(_MARKS.findall(token)), max(by_word, default=0.0), max(by_stem, default=0.0),
         )
 
     def _rows(self, tokens) -> list[int]:
