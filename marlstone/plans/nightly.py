@@ -16,7 +16,7 @@ _TRUTH = ("summary", "confidence", "key_facts", "contradictions", "open_question
 
 def concepts(spark: SparkSession, store: Store) -> DataFrame:
     """The stored concept pages."""
-    return tables.read_or_empty(spark, store.concepts, schemas.CONCEPTS)
+    return tables.read(spark, store.concepts, schemas.CONCEPTS)
 
 
 def timeline(spark: SparkSession, store: Store) -> DataFrame:

@@ -7,7 +7,8 @@ CHUNKS = (
     "sha256 string, title string, heading_path string, tags array<string>, links array<string>, top_folder string, original_file string, "
     "sparse_lexicon map<string,double>, extra map<string,string>, run string"
 )
-LEDGER = "rel_path string, sha256 string, mtime double, collection string, chunk_count int, ingested_at timestamp, run string"
+LEDGER = "rel_path string, sha256 string, mtime double, size long, collection string, chunk_count int, ingested_at timestamp, run string"
+PROGRESS = "rel_path string, sha256 string, run string"
 NOTES = "rel_path string, top_folder string, sha256 string, mtime double, size long, text string"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 CONCEPTS = (

@@ -17,7 +17,7 @@ def session(name: str = "marlstone", **conf: str) -> SparkSession:
 
 @dataclass(frozen=True)
 class Store:
-    """Where the tables of a store live; ``chunks`` and ``timeline`` grow by one partition a run."""
+    """Where the tables of a store live; ``chunks``, ``changes`` and ``timeline`` grow by one partition a run."""
 
     root: str
 
@@ -38,5 +38,9 @@ class Store:
         return f"{self.root}/timeline"
 
     @property
-    def last_diff(self) -> str:
-        return f"{self.root}/last_diff"
+    def progress(self) -> str:
+        return f"{self.root}/progress"
+
+    @property
+    def changes(self) -> str:
+        return f"{self.root}/changes"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone import schemas
+
 # fixed values: folders that hold no notes, and marks of conflicting copies
 HIDDEN = (".obsidian", ".trash", ".git", ".smart-env")
 SYSTEM_FOLDER = "_system"
@@ -28,17 +30,45 @@ def below(rel_path: Column, folders: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, folders)))
 
 
+def _located(files: DataFrame, root: str) -> DataFrame:
+    """Add ``location`` (the plain path), ``rel_path``, ``top_folder``, ``name``, ``mtime`` and ``size`` to files as Spark lists them."""
+    base = root.rstrip("/") + "/"
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    rel = F.regexp_replace(F.regexp_replace(plain, "^[a-z]+:/+", "/"), "^" + _quoted(base), "")
+    folder = F.when(F.instr("rel_path", "/") > 0, F.split_part("rel_path", F.lit("/"), F.lit(1))).otherwise(F.lit("(root)"))
+    rows = files.withColumn("location", plain).withColumn("rel_path", rel).withColumn("top_folder", folder).withColumn("name", F.regexp_extract("rel_path", "([^/]+)$", 1))
+    return rows.withColumn("mtime", F.unix_micros("modificationTime") / 1e6).withColumn("size", F.col("length"))
+
+
 def scan(spark: SparkSession, root: str, glob: str = "*.md", recursive: bool = True) -> DataFrame:
     """``rel_path, top_folder, name, sha256, mtime, size, content`` of files below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.url_decode(F.replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B"))), "^" + _quoted(base), "")
-    rows = files.withColumn("rel_path", rel)
-    folder = F.when(F.instr("rel_path", "/") > 0, F.split_part("rel_path", F.lit("/"), F.lit(1))).otherwise(F.lit("(root)"))
-    return rows.select(
-        "rel_path", folder.alias("top_folder"), F.regexp_extract("rel_path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"),
-        (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), "content",
-    )
+    return _located(files, root).select("rel_path", "top_folder", "name", F.sha2("content", 256).alias("sha256"), "mtime", "size", "content")
+
+
+def listing(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
+    """``location, rel_path, top_folder, mtime, size`` of the notes of a vault; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    return _located(files, root).select("location", "rel_path", "top_folder", "mtime", "size").where(~excluded(F.col("rel_path")))
+
+
+NAMED_FILES = 10_000  # so many are opened by name; for more the whole folder is read
+
+
+def read_listed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """The notes of some rows of a ``listing`` with hash and text; their files are opened and, up to ``NAMED_FILES``, no others."""
+    few = listed.select("location").limit(NAMED_FILES + 1).collect()
+    if len(few) > NAMED_FILES:
+        return scan_notes(spark, root).join(listed.select("rel_path"), "rel_path", "left_semi")
+    if not few:
+        return spark.createDataFrame([], schemas.NOTES)
+    files = spark.read.format("binaryFile").option("__globPaths__", "false").load([r["location"] for r in few])
+    return _located(files, root).select("rel_path", "top_folder", F.sha2("content", 256).alias("sha256"), "mtime", "size", _text())
+
+
+def _text() -> Column:
+    """What a file says; bytes that aren't UTF-8 become the replacement character."""
+    return F.make_valid_utf8(F.col("content").cast("string")).alias("text")
 
 
 def _quoted(path: str) -> str:
@@ -50,7 +80,7 @@ def _quoted(path: str) -> str:
 def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     """Notes of a vault with their text; bytes that aren't UTF-8 become the replacement character."""
     rows = scan(spark, root).where(~excluded(F.col("rel_path")))
-    return rows.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content", "name")
+    return rows.select("rel_path", "top_folder", "sha256", "mtime", "size", _text())
 
 
 def scan_folder(spark: SparkSession, root: str, extensions: tuple[str, ...], least_size: int = 0, recursive: bool = True) -> DataFrame:

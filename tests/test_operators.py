@@ -92,7 +92,7 @@ def test_vault_ingest(spark, tmp_path):
     assert {k: v for k, v in run().items() if v != "unchanged"} == {"短.md": "changed", "bad.md": "deleted"}
     left = ingest.live_chunks(spark, store)
     assert left.where("source = 'bad.md'").count() == 0 and left.where("source = '短.md'").first().document == "新的内容"
-    assert {r.rel_path for r in spark.read.parquet(store.ledger).collect()} == {"规范/消防.md", "短.md", "x+y z.md"}
+    assert {r.rel_path for r in ingest.known_files(spark, store).collect()} == {"规范/消防.md", "短.md", "x+y z.md"}
 
 
 def test_inbox_and_extractors(spark, tmp_path):
@@ -158,50 +158,6 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, daily_counts(events).collect()))
 
 
-def test_tables(spark, tmp_path):
-    path = str(tmp_path / "t")
-    assert tables.read_or_empty(spark, path, "a long").count() == 0
-    for _ in range(2):
-        tables.replace(tables.read_or_empty(spark, path, "a long").unionByName(spark.createDataFrame([(1,)], "a long")), path)
-    assert spark.read.parquet(path).count() == 2
-
-
-def test_a_broken_swap_leaves_a_table(spark, tmp_path):
-    path = tmp_path / "t"
-    tables.replace(spark.createDataFrame([(1,)], "a long"), str(path))
-    path.rename(tmp_path / "t.before")  # ended after the old version went aside
-    assert tables.read_or_empty(spark, str(path), "a long").count() == 1
-    tables.replace(spark.createDataFrame([(2,)], "a long"), str(path))
-    assert [r.a for r in spark.read.parquet(str(path)).collect()] == [2] and not (tmp_path / "t.before").exists()
-
-
-def test_ingest_of_blank_notes_failed_embeddings_and_failed_runs(spark, tmp_path):
-    vault, store = tmp_path / "v", Store(str(tmp_path / "s"))
-    vault.mkdir()
-    (vault / "blank.md").write_text("\n\n　\n")
-    (vault / "odd.md").write_text("\x1c")
-    (vault / "a.md").write_text("first note")
-    (vault / "b.md").write_text("bad note")
-
-    def client(texts):
-        if any("bad" in t for t in texts):
-            raise ValueError
-        return [[1.0, 2.0] for _ in texts]
-
-    none = (spark.createDataFrame([], "top_folder string, collection string"), spark.createDataFrame([], "match string, collection string, chunk_size int, overlap int"))
-    run = lambda **more: {r.rel_path: r.status for r in ingest.ingest(spark, str(vault), store, *none, "notes", F.lit("2024-05-01").cast("timestamp"), embedding=lambda c: embed.embed(c, client, batch=1, retries=0), **more).collect()}
-    assert run() == {"a.md": "new", "b.md": "new"} and set(run().values()) == {"unchanged"}
-    assert [r.source for r in ingest.live_chunks(spark, store).collect()] == ["a.md"]
-    # a run that ended before its ledger leaves rows that nothing names
-    spark.read.parquet(store.chunks).drop("run").write.parquet(f"{store.chunks}/run=failed")
-    assert ingest.live_chunks(spark, store).count() == 1
-    (vault / "blank.md").write_text("now with text")
-    assert run()["blank.md"] == "new" and ingest.live_chunks(spark, store).count() == 2
-    ingest.compact(spark, store)
-    assert ingest.live_chunks(spark, store).count() == 2 and spark.read.parquet(store.chunks).count() == 2
-    assert set(run().values()) == {"unchanged"} and set(run(full=True).values()) == {"new"} and ingest.live_chunks(spark, store).count() == 2
-
-
 def test_nightly_run(spark, tmp_path):
     store = Store(str(tmp_path / "s"))
     link = lambda *names: [(n.lower(), n) for n in names]
