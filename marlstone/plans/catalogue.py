@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import chunk
 from marlstone.functions import text as tx
 from marlstone.functions import vector as vec
-from marlstone.operators import analytics, ferment, fusion, graph, ledger, retrieval
+from marlstone.operators import analytics, ferment, fusion, graph, ledger, retrieval, sparse_index, vector_index
 from marlstone.plans import search
+from marlstone.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +62,14 @@ def dense_topk(spark, d):
     return retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 30)
 
 
+@query()
+def vector_index_topk(spark, d):
+    """The same by a stored index of cells; its recall against ``dense_topk`` is tested."""
+    path = tables.passing_folder(spark, "vector-index")
+    vector_index.build(_dense_corpus(spark, d), path)
+    return vector_index.search(_dense_queries(spark, d), path, 30)
+
+
 @query(f"with {_DENSE} select query_id, rank, id, round(1 - distance / 2, 7) as similarity from dense_ranked where rank <= 5")
 def dense_topk_similarity(spark, d):
     top = retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 5)
@@ -268,6 +277,14 @@ def sparse_recall(spark, d):
     return retrieval.sparse_recall(_asks(spark, d), _read(spark, d, "documents"), "doc_id", "text", 10)
 
 
+@query(f"with {_RECALL} select query_id, row_number() over (partition by query_id order by score desc, id) as rank, id, score from recall qualify rank <= 10")
+def sparse_index_recall(spark, d):
+    """The same by a stored index that skips blocks of documents."""
+    path = tables.passing_folder(spark, "sparse-index")
+    sparse_index.build(_read(spark, d, "documents"), path, "doc_id", "text")
+    return sparse_index.recall(_asks(spark, d), path, 10)
+
+
 @query(f"with {_RECALL}, placed as (select *, row_number() over (partition by query_id order by score desc, id) as place from recall) select query_id, place - 5 as rank, id, score from placed where place between 6 and 15")
 def sparse_recall_excluding(spark, d):
     """The next ten, without the five that were recalled before."""

@@ -186,6 +186,11 @@ def _apply(spark: SparkSession, path: str, columns, key: str, staged: str, run:
     return _commit(spark, path, before, parts | dict.fromkeys(sorted(written, key=int), run), buckets, notes)
 
 
+def publish(spark: SparkSession, path: str, before: dict, notes: dict) -> dict:
+    """A new version of something that names its own folders in its notes, such as an index."""
+    return _commit(spark, path, before, before["parts"], before["buckets"], notes)
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = KEEP, orphans_after: float | None = None) -> None:
     """Forget all but the last ``keep`` versions and remove the folders that only those forgotten name.
 
@@ -226,11 +231,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once, in the folder that all executors share, for plans that read it several times; it goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share and that goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     fs, path_of = files(spark, path)
     fs.deleteOnExit(path_of(path))
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once, in a passing folder, for plans that read it several times."""
+    path = passing_folder(df.sparkSession, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
