@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources import tables
+
 
 def mentions(rows: DataFrame, links: str = "links", source: str = "source", chunk: str | None = None) -> DataFrame:
     """``concept_id, source, n, display``: how often a source mentions a concept.
@@ -43,24 +45,61 @@ def level(count):
     return F.when(count >= 8, 2).when(count >= 3, 1).otherwise(0)
 
 
-HUB = 1_000
+HUB = 256  # concepts beyond which a source's pairs aren't written out
+
 
+def related(edges: DataFrame, k: int = 5, of: DataFrame | None = None) -> DataFrame:
+    """``concept_id, rank, related_id, shared``: the k concepts that share most sources with each, ties by id.
 
-def related(edges: DataFrame, k: int = 5) -> DataFrame:
-    """``concept_id, rank, related_id, shared``: concepts that share most sources, ties by id.
+    ``of`` (``concept_id``): only for these.  Exact, without the pairs of a source that mentions more
+    than ``HUB`` concepts, a hub:
 
-    The self-join meets on the source.  A source that mentions more than ``HUB`` concepts is cut
-    into parts of about that many, and every two parts meet under a key of their own, so no
-    task has all pairs of a hub; counts are combined before they are shuffled.
+    - Other sources give their pairs, counted; what such a pair shares of hubs is added by
+      comparing the two concepts' lists of hubs.
+    - Concepts with the same list of hubs form a class.  A class as large as k + 1 has k partners that
+      share all its hubs, so only classes with its rarest hub can be as good; a smaller one looks at
+      all of its hubs.  Of the classes' members the first 2 k by id are enough: at most one is the
+      concept itself, and where k are its partners by other sources, those are better than what follows.
     """
-    parts = edges.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("long").alias("parts"))
-    rows = edges.select("source", "concept_id").join(parts, "source")
-    own, every = F.pmod(F.xxhash64("concept_id"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    left = rows.select("source", "concept_id", own.alias("one"), every.alias("two"))
-    right = rows.select("source", F.col("concept_id").alias("related_id"), every.alias("one"), own.alias("two"))
-    shared = left.join(right, ["source", "one", "two"]).where("concept_id <> related_id").groupBy("concept_id", "related_id").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = edges.select("source", "concept_id").distinct()
+    sizes = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    hubs = tables.settle(sizes.where(F.col("size") > HUB).withColumn("hub", F.monotonically_increasing_id()))
+    small = pairs.join(hubs.select("source"), "source", "left_anti")
+    asked = small if of is None else small.join(of.select("concept_id").distinct(), "concept_id", "left_semi")
+    met = asked.join(small.withColumnRenamed("concept_id", "related_id"), "source").where("concept_id <> related_id").groupBy("concept_id", "related_id").agg(F.count(F.lit(1)).alias("shared"))
+    if hubs.limit(1).count():
+        met = _with_hubs(pairs, hubs, met, k, of)
     order = Window.partitionBy("concept_id").orderBy(F.desc("shared"), "related_id")
-    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("concept_id", "rank", "related_id", "shared")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("concept_id", "rank", "related_id", "shared")
+
+
+def _with_hubs(pairs: DataFrame, hubs: DataFrame, met: DataFrame, k: int, of: DataFrame | None) -> DataFrame:
+    """Pairs by other sources with their hubs added, and each concept's best pairs by hubs alone."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("size", "hub"))), lambda x: x["hub"])  # rarest first
+    held = tables.settle(pairs.join(hubs, "source").groupBy("concept_id").agg(listed.alias("hubs")))
+    classes = tables.settle(held.groupBy("hubs").agg(F.count(F.lit(1)).alias("members")).withColumn("class", F.monotonically_increasing_id()))
+    by_class = Window.partitionBy("class").orderBy("concept_id")
+    member = held.join(classes.select("hubs", "class"), "hubs").select("concept_id", "class")
+    first = member.withColumn("_place", F.row_number().over(by_class)).where(F.col("_place") <= 2 * k).select(F.col("class").alias("other"), F.col("concept_id").alias("related_id"))
+    near = tables.settle(_class_pairs(classes, k))
+    best = Window.partitionBy("class").orderBy(F.desc("shared"), "related_id")
+    best_of = near.join(first, "other").withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= 2 * k).select("class", "related_id", "shared")
+    asked = member if of is None else member.join(of.select("concept_id").distinct(), "concept_id", "left_semi")
+    by_hubs = asked.join(best_of, "class").where("concept_id <> related_id").select("concept_id", "related_id", "shared")
+    one, two = held.withColumnRenamed("hubs", "_one"), held.select(F.col("concept_id").alias("related_id"), F.col("hubs").alias("_two"))
+    both = met.join(one, "concept_id", "left").join(two, "related_id", "left")
+    both = both.withColumn("shared", F.col("shared") + F.coalesce(F.size(F.array_intersect("_one", "_two")), F.lit(0)))
+    whole = both.select("concept_id", "related_id", "shared").unionByName(by_hubs)  # a pair in both has its whole count in the first
+    return whole.groupBy("concept_id", "related_id").agg(F.max("shared").alias("shared"))
+
+
+def _class_pairs(classes: DataFrame, k: int) -> DataFrame:
+    """``class, other, shared``: the classes that can hold one of a class's best partners, and how many hubs both have."""
+    looks = F.when(F.col("members") > k, F.lit(1)).otherwise(F.size("hubs"))
+    left = classes.select("class", F.col("hubs").alias("_one"), F.explode(F.slice("hubs", F.lit(1), looks)).alias("hub"))
+    right = classes.select(F.col("class").alias("other"), F.col("hubs").alias("_two"), F.explode("hubs").alias("hub"))
+    found = left.join(right, "hub").select("class", "other", F.size(F.array_intersect("_one", "_two")).cast("long").alias("shared"))
+    return found.distinct()
 
 
 def search(pages: DataFrame, query: str, k: int) -> DataFrame:

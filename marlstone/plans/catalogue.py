@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import chunk
 from marlstone.functions import text as tx
 from marlstone.functions import vector as vec
-from marlstone.operators import analytics, ferment, fusion, graph, ledger, retrieval, sparse_index, vector_index
-from marlstone.plans import search
+from marlstone.operators import analytics, ferment, fusion, graph, ledger, name_index, retrieval, sparse_index, vector_index
+from marlstone.plans import graph_store, search
+from marlstone.session import Store
 from marlstone.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,9 +643,44 @@ def related_concepts(spark, d):
     return graph.related(_edges(spark, d))
 
 
-@query(f"with {_LINKS} select concept_id, concept_name from graph where contains(concept_id, 'the') or contains(lower(concept_name), 'the') order by (concept_id <> 'the')::int, concept_id limit 20")
+# every twentieth page asks for the words of the names that it mentions
+_ASKED = rf"""{_LINKS},
+asked as (select distinct word as query from (select unnest(string_split(lower(display), ' ')) as word from links where page_id % 20 = 0) where length(word) > 0),
+hits as (
+  select query, concept_id, concept_name, row_number() over (partition by query order by (concept_id <> query)::int, concept_id) as rank
+  from asked join graph on contains(concept_id, query) or contains(lower(concept_name), query))"""
+
+
+def _name_queries(spark, d):
+    """Words of names as queries, with numbers, and an index of all concepts' names."""
+    words = _notes(spark, d).where("page_id % 20 = 0").select(F.explode("links").alias("link")).select(F.explode(F.split(F.lower("link.display"), " ")).alias("text"))
+    queries = tables.settle(words.where("text <> ''").distinct().withColumn("query_id", F.monotonically_increasing_id()))
+    path = tables.passing_folder(spark, "name-index")
+    name_index.build(graph.concepts(_edges(spark, d)).select("concept_id", "concept_name"), path)
+    return queries, path
+
+
+@query(f"with {_ASKED} select query, rank, concept_id, concept_name from hits where rank <= 20")
 def concept_search(spark, d):
-    return graph.search(graph.concepts(_edges(spark, d)), "the", 20).select("concept_id", "concept_name")
+    queries, path = _name_queries(spark, d)
+    found = name_index.search(queries, path, 20).join(queries, "query_id")
+    return found.select(F.col("text").alias("query"), "rank", "concept_id", "concept_name")
+
+
+@query(f"with {_ASKED} select query, concept_id, concept_name from hits where rank = 1")
+def concept_lookup(spark, d):
+    queries, path = _name_queries(spark, d)
+    return name_index.lookup(queries, path).join(queries, "query_id").select(F.col("text").alias("query"), "concept_id", "concept_name")
+
+
+@query(f"with {_LINKS} select concept_id, concept_name, total_mentions, n_sources from graph")
+def concept_graph_incremental(spark, d):
+    """The stored graph after two runs: pages without TLS first, then the whole of every source."""
+    store, notes = Store(tables.passing_folder(spark, "graph")), _notes(spark, d)
+    graph_store.update(spark, store, notes.where(F.startswith("url", F.lit("http://"))), None, "first", "page_id")
+    grown = notes.where(F.startswith("url", F.lit("https://"))).select("source").distinct()
+    graph_store.update(spark, store, notes.join(grown, "source", "left_semi"), None, "second", "page_id")
+    return graph_store.concepts(spark, store)
 
 
 @query(f"with {_LINKS} select concept_id, concept_name, total_mentions from graph order by total_mentions desc, concept_id limit 10")
@@ -921,11 +957,6 @@ def purge_by_type(spark, d):
     return ledger.purge(_orders(spark, d), "F").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_LINKS} select concept_id, concept_name from graph where contains(concept_id, 'der') or contains(lower(concept_name), 'der') order by (concept_id <> 'der')::int, concept_id limit 1")
-def concept_lookup(spark, d):
-    return graph.lookup(graph.concepts(_edges(spark, d)), "der").select("concept_id", "concept_name")
-
-
 @query(f"with {_DENSE}, top as (select * from dense_ranked where rank <= 30), m as (select case when max(distance) <= 2 then 'cosine' when max(distance) <= 10 then 'ip' else 'l2' end as metric from top) select query_id, id, metric, round(case metric when 'cosine' then 1 - distance / 2 when 'ip' then 1 - distance else 1 / (1 + distance) end, 7) as similarity from top, m")
 def metric_similarity(spark, d):
     top = dense_topk(spark, d)

@@ -44,3 +44,19 @@ class Store:
     @property
     def changes(self) -> str:
         return f"{self.root}/changes"
+
+    @property
+    def edges(self) -> str:
+        return f"{self.root}/edges"
+
+    @property
+    def totals(self) -> str:
+        return f"{self.root}/totals"
+
+    @property
+    def deltas(self) -> str:
+        return f"{self.root}/deltas"
+
+    @property
+    def fresh(self) -> str:
+        return f"{self.root}/fresh"
