@@ -90,15 +90,21 @@ def share(n, whole, kept):
     return 1 + F.call_function("div", above, below)
 
 
-def _levels(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of one group: a bitset of term places for every count that occurs."""
-    first = rows.iloc[0]
-    held = rows[rows["place"].notna()]
-    counts, level = np.unique(held["n"].to_numpy(np.int64), return_inverse=True)
-    bits = np.zeros((counts.size, BLOCK_TERMS // 8 * int(first["words"])), np.uint8)
-    place = held["place"].to_numpy(np.int64)
-    np.bitwise_or.at(bits, (level, place // 8), (1 << (place % 8)).astype(np.uint8))
-    return pd.DataFrame({"lang": [first["lang"]], "block": [first["block"]], "source": [first["source"]], "whole": [first["whole"]], "kept": [first["kept"]], "terms": [first["terms"]], "counts": [counts], "bits": [[b.tobytes() for b in bits]]})
+def level_bits(counts: np.ndarray, places: np.ndarray, terms: int) -> tuple[np.ndarray, list[bytes]]:
+    """The counts that occur among a block's terms, ascending, and for each the bitset of its places."""
+    levels, level = np.unique(counts, return_inverse=True)
+    bits = np.zeros((levels.size, 8 * max(1, -(-terms // 64))), np.uint8)
+    np.bitwise_or.at(bits, (level, places // 8), (1 << (places % 8)).astype(np.uint8))
+    return levels, [b.tobytes() for b in bits]
+
+
+def _levels(held: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    """The levels of one group in one block, from its terms' packed counts and places."""
+    out = []
+    for packed, size in zip(held, terms, strict=True):
+        packed = np.asarray(packed, np.int64).reshape(-1, 2)
+        out.append(level_bits(packed[:, 0], packed[:, 1], int(size)))
+    return pd.DataFrame(out, columns=["counts", "bits"])
 
 
 def joint_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,7 +159,8 @@ def audit(df: DataFrame, scratch, text: str = "text", lang: str = "lang", source
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("all").alias("spoken"))
     # blocks by hash, so that no language's terms are ever put in order as a whole
     kept = kept.join(sizes, "lang").withColumn("blocks", F.ceil(F.col("kept") / (BLOCK_TERMS * 3 // 4)).cast("long"))
-    kept = kept.withColumn("block", F.pmod(F.xxhash64("term"), "blocks")).withColumn("place", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1)
+    kept = scratch.keep(kept.withColumn("block", F.pmod(F.xxhash64("term"), "blocks")), "dealt")  # written, so that places are given by block, not by language
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1)
     kept = scratch.keep(kept.select("lang", "term", "all", "spoken", "kept", "block", "place"), "blocks")
     held = said.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all", "spoken", "kept", "block", "place")
     held = scratch.keep(held, "held")
@@ -170,9 +177,10 @@ def audit(df: DataFrame, scratch, text: str = "text", lang: str = "lang", source
 
     blocks = kept.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("terms"))
     every = groups.join(blocks, "lang", "left").fillna(0, ["block", "terms"])  # a group has a place in every block of its language
-    words = F.ceil(F.greatest("terms", F.lit(1)) / BLOCK_TERMS)
-    levels = every.join(held.select("lang", "source", "block", "n", "place"), ["lang", "source", "block"], "left").withColumn("words", words)
-    levels = levels.groupBy("lang", "block", "source").applyInPandas(_levels, "lang string, block long, source string, whole long, kept long, terms long, counts array<long>, bits array<binary>")
+    cells = held.groupBy("lang", "source", "block").agg(F.flatten(F.collect_list(F.array(F.col("n"), F.col("place").cast("long")))).alias("held"))  # no more than a block has terms
+    levels = every.join(cells, ["lang", "source", "block"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<bigint>")))
+    bitmaps = F.pandas_udf(_levels, "counts array<long>, bits array<binary>")
+    levels = levels.select("lang", "block", "source", "whole", "kept", "terms", bitmaps("held", "terms").alias("level")).select("lang", "block", "source", "whole", "kept", "terms", "level.counts", "level.bits")
     tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE_SOURCES).cast("long").alias("tiles"))
     levels = scratch.keep(levels, "levels").join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), "tiles"))
     levels = levels.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
