@@ -52,6 +52,16 @@ def fixed_to_end(text: Column, size: int = SIZE, overlap: int = OVERLAP, least:
     return F.when(F.length(text) < least, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(strip(text))).otherwise(F.filter(pieces, lambda p: p != ""))
 
 
+# fixed values: extensions of images, whose recognised text is mostly short
+IMAGES = ("png", "jpg", "jpeg", "bmp", "tiff")
+
+
+def extracted(text: Column, extension: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """Chunks of what an extractor found: an image's text that is shorter than a window stays whole, all else is cut."""
+    whole = F.lower(extension).isin(*IMAGES) & (F.length(text) < size) & (F.length(text) >= least)
+    return F.when(whole, F.array(text)).otherwise(fixed(text, size, overlap, least))
+
+
 def hard(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows as they are, whatever the length; an empty text has none."""
     return windows(F.coalesce(text, F.lit("")), size, overlap, strip=False)

@@ -57,6 +57,16 @@ def _bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _until_last(text: Column, closer: str, rewrite) -> Column:
+    """``rewrite`` applied up to the last ``closer`` (a pattern), the rest as it is: nothing that opens there is closed, and none of it is gone over."""
+
+    def run(t: Column) -> Column:
+        head = F.regexp_extract(t, f"(?s)^(.*{closer})", 1)
+        return _bound(head, lambda h: F.concat(rewrite(h), F.substring(t, F.char_length(h) + 1, F.char_length(t))))
+
+    return _bound(text, run)
+
+
 def token_entropy(tokens: Column) -> Column:
     """Entropy of the token distribution relative to its maximum, from 0 to 1; one sort, so for texts of any length."""
     n = F.size(tokens)
@@ -188,9 +198,13 @@ def links(text: Column) -> Column:
 
 def convert_wikilinks(text: Column) -> Column:
     """Wiki links as readable text: the alias, else ``page > heading``, else the page."""
-    text = F.regexp_replace(text, r"\[\[([^\]|]*)\|([^\]|]*)(?:\|[^\]]*)?\]\]", "$2")
-    text = F.regexp_replace(text, r"\[\[([^\]#]*)#([^\]#]*)(?:#[^\]]*)?\]\]", "$1 > $2")
-    return F.regexp_replace(text, r"\[\[([^\]]+)\]\]", "$1")
+
+    def readable(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\[\[([^\]|]*+)\|([^\]|]*+)(?:\|[^\]]*+)?\]\]", "$2")
+        t = F.regexp_replace(t, r"\[\[([^\]#]*+)#([^\]#]*+)(?:#[^\]]*+)?\]\]", "$1 > $2")
+        return F.regexp_replace(t, r"\[\[([^\]]++)\]\]", "$1")
+
+    return _until_last(text, r"\]\]", readable)
 
 
 # fixed values: the rewriting rules of Markdown to plain text, in the order in which they apply
@@ -218,8 +232,9 @@ def clean_markdown(text: Column) -> Column:
 
 def strip_html(html: Column) -> Column:
     """Text of a page without scripts, styles and tags."""
-    body = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return normalize_text(F.regexp_replace(body, r"<[^>]+>", " "))
+    scripts = lambda x: F.regexp_replace(x, r"(?is)<(script|style)[^>]*+>.*?</(script|style)>", " ")
+    plain = _until_last(html, r"(?i)</(?:script|style)>", scripts)
+    return normalize_text(_until_last(plain, ">", lambda x: F.regexp_replace(x, r"<[^>]++>", " ")))
 
 
 def note_text(text: Column) -> Column:
@@ -243,10 +258,14 @@ def front_matter(text: Column) -> Column:
     lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[^\s:#-][^:]*:\s*\S"))
     key = lambda x: F.trim(F.regexp_extract(x, "^([^:]+):", 1))
     value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)), "^['\"]|['\"]$", "")
-    pairs = F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
-    # the last line of a key holds
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(lines, lambda x, i: F.struct(key(x).alias("key"), (-i).alias("at"), value(x).alias("value")))
+    return F.map_from_entries(_bound(F.array_sort(pairs), _first_of_key))  # the last line of a key holds
+
+
+def _first_of_key(ordered: Column) -> Column:
+    """Entries of a map from ``struct(key, at, value)`` in order: the first of each key; one pass."""
+    first = F.filter(ordered, lambda p, i: (i == 0) | (p["key"] != F.get(ordered, i - 1)["key"]))
+    return F.transform(first, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
 
 
 def front_matter_lists(text: Column) -> Column:
@@ -261,9 +280,8 @@ def front_matter_lists(text: Column) -> Column:
         found = F.when(inline.startswith("["), F.split(F.regexp_replace(inline, r"^\[|\]$", ""), ",")).when(inline != "", F.array(inline)).otherwise(listed)
         return F.filter(F.transform(found, bare), lambda x: x != "")
 
-    pairs = F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, "^([^:]+):", 1)).alias("key"), items(b).alias("value")))
-    once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(once)
+    pairs = F.transform(blocks, lambda b, i: F.struct(F.trim(F.regexp_extract(b, "^([^:]+):", 1)).alias("key"), i.alias("at"), items(b).alias("value")))
+    return F.map_from_entries(_bound(F.array_sort(pairs), _first_of_key))
 
 
 def tags(text: Column) -> Column:

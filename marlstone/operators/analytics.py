@@ -134,3 +134,26 @@ def briefing(df: DataFrame, as_of: Column, most: int = 5) -> DataFrame:
             F.when(F.size("a") > 0, F.concat(F.lit("most active: "), named)),
         ).alias("briefing")
     )
+
+
+def dependency_health(probes: DataFrame) -> DataFrame:
+    """One row: ``status, checked, warned, failed`` of the required dependencies (``required, code, error``).
+
+    A dependency passes with code 200, warns with another and fails with an error or no answer; the
+    whole passes only if all do, and warns otherwise.
+    """
+    rows = probes.where("required")
+    failed = F.col("error").isNotNull() | F.col("code").isNull()
+    counts = rows.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~failed & (F.col("code") != 200)).alias("warned"), F.count_if(failed).alias("failed"))
+    return counts.select(F.when(F.col("warned") + F.col("failed") > 0, "warn").otherwise("pass").alias("status"), "checked", "warned", "failed")
+
+
+# fixed values: the sentences of the health report
+_HEALTH = ("知识库共 %d 条记录", "%d 个来源已过期", "%d 个死链接", "%d 个文档存在碎片缺失", "一切正常!")
+
+
+def health_summary(counts: DataFrame) -> DataFrame:
+    """``summary``: a line of what ``total, expired, dead, gaps`` say; issues of which there are none aren't named."""
+    named = [F.when(F.col(c) > 0, F.format_string(text, c)) for c, text in zip(("expired", "dead", "gaps"), _HEALTH[1:4], strict=True)]
+    fine = F.when(F.col("expired") + F.col("dead") + F.col("gaps") == 0, F.lit(_HEALTH[4]))
+    return counts.select(F.concat_ws(" | ", F.format_string(_HEALTH[0], "total"), *named, fine).alias("summary"))

@@ -108,11 +108,11 @@ def truth(rows: DataFrame, full: bool) -> DataFrame:
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("rank", c)))), lambda x: x[c])
     nothing = F.array().cast("array<string>")
     if not full:
-        told = rows.withColumn("told", F.when(F.col("fact") != "", F.col("fact"))).groupBy("concept").agg(F.first("name").alias("name"), in_order("told").alias("facts"))
+        told = rows.withColumn("told", F.when(F.col("fact") != "", F.col("fact"))).groupBy("concept").agg(F.max("name").alias("name"), in_order("told").alias("facts"))
         summary = F.when(F.size("facts") > 0, F.format_string(_BASIC, "name", F.size("facts"))).otherwise("")
         return told.select("concept", summary.alias("summary"), F.lit(0.5).alias("confidence"), F.slice("facts", 1, 5).alias("key_facts"), nothing.alias("contradictions"), nothing.alias("open_questions"))
     marked = _marked(rows).withColumn("doubt", F.when(F.col("odd"), F.format_string(_ODD, F.coalesce("source", F.lit("unknown")))))
-    told = marked.groupBy("concept").agg(F.first("name").alias("name"), in_order("fact").alias("facts"), in_order("doubt").alias("doubts"), F.count_if("is_new").alias("sources"))
+    told = marked.groupBy("concept").agg(F.max("name").alias("name"), in_order("fact").alias("facts"), in_order("doubt").alias("doubts"), F.count_if("is_new").alias("sources"))
     return told.select(
         "concept", F.format_string(_FULL, "name", F.size("facts"), "sources").alias("summary"), F.when(F.size("doubts") > 0, 0.55).otherwise(0.75).alias("confidence"),
         F.slice("facts", 1, 8).alias("key_facts"), F.slice("doubts", 1, 3).alias("contradictions"), F.when(F.size("doubts") > 0, F.array(F.lit(_QUESTION))).otherwise(nothing).alias("open_questions"),
@@ -134,3 +134,19 @@ def appended(timeline: DataFrame, events: DataFrame) -> DataFrame:
 def timeline_of(timeline: DataFrame, pages: DataFrame) -> DataFrame:
     """Entries with the name and mentions of their concept."""
     return timeline.join(pages.select("concept_id", "concept_name", "mention_count"), "concept_id")
+
+
+def diff_summary(told: DataFrame) -> DataFrame:
+    """``summary``: a line of what a night did, from one row of counters; steps that did nothing aren't named.
+
+    ``pages, concepts, edges, avg_mentions, stubs_created, upgrades_basic, upgrades_full, enriched_basic, enriched_full, removed``.
+    """
+    some = lambda c, text: F.when(F.col(c) > 0, F.format_string(text, c))
+    joined = lambda head, *parts: F.when(F.concat_ws(", ", *parts) != "", F.concat(F.lit(head), F.concat_ws(", ", *parts)))
+    return told.select(
+        F.concat_ws(
+            # fixed values: the sentences of the summary
+            " | ", F.format_string("总计 %d 个概念页面", "pages"), F.format_string("图谱: %d 概念, %d 边, 平均 %.1f 次引用", "concepts", "edges", "avg_mentions"), some("stubs_created", "新建 %d 个 stub 页面"),
+            joined("升级: ", some("upgrades_basic", "basic=%d"), some("upgrades_full", "full=%d")), joined("富化: ", some("enriched_basic", "基础富化 %d"), some("enriched_full", "完整富化 %d")), some("removed", "清理 %d 个孤立概念"),
+        ).alias("summary")
+    )

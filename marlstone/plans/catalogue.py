@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import chunk
+from marlstone.functions import chunk, hashing
 from marlstone.functions import text as tx
 from marlstone.functions import vector as vec
-from marlstone.operators import analytics, ferment, fusion, graph, ledger, name_index, retrieval, sparse_index, vector_index
+from marlstone.operators import analytics, ferment, fusion, graph, ledger, name_index, retrieval, rollups, sparse_index, vector_index
 from marlstone.plans import graph_store, search
 from marlstone.session import Store
 from marlstone.sources import tables
@@ -117,6 +117,15 @@ def text_query(spark, d):
     return retrieval.text_topk(_read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus, _letters, 10)
 
 
+@query()
+def text_query_hashed(spark, d):
+    """The same by the hashing embedder, whose frequencies are those of all documents; near copies come first."""
+    docs = _read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    encode = hashing.embedder(docs, hashing.learn(docs))
+    corpus = docs.select("id", encode(F.col("text")).alias("vector"))
+    return retrieval.text_topk(_read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus, encode, 10)
+
+
 # ----- text functions
 
 _TOKENS = r"list_transform(list_filter(regexp_extract_all(coalesce({c}, ''), '[\x{{4e00}}-\x{{9fa5}}]+|[A-Za-z0-9._-]+'), lambda t: length(t) > 1), lambda t: lower(t))"
@@ -441,6 +450,18 @@ def chunk_fixed(spark, d):
     return chunk.explode_chunks(_read(spark, d, "documents"), chunk.fixed(F.col("text")), ["doc_id"])
 
 
+@query("""
+with t as (select doc_id, text, lang = 'en' as image from (select doc_id, lang, substr(text, 1, 60 + length(text) // 2) as text from documents)),
+n as (select doc_id, text, case when length(text) <= 450 or (image and length(text) < 450) then 1 else greatest(1, ceil((length(text) - 100) / 350.0)) end::int as n from t where length(text) >= 50),
+pieces as (select doc_id, i as chunk_index, case when n = 1 then text else regexp_replace(substr(text, i * 350 + 1, 450), '^\\s+|\\s+$', '', 'g') end as chunk from n, lateral (select unnest(range(n)) as i))
+select doc_id, chunk_index::int as chunk_index, chunk from pieces where chunk <> ''
+""")
+def chunk_extracted(spark, d):
+    """More than half of every text as if an extractor had found it, in images and other files."""
+    rows = _read(spark, d, "documents").select("doc_id", F.expr("substring(text, 1, cast(60 + length(text) div 2 as int))").alias("text"), F.when(F.col("lang") == "en", "png").otherwise("pdf").alias("extension"))
+    return chunk.explode_chunks(rows, chunk.extracted(F.col("text"), F.col("extension")), ["doc_id"])
+
+
 @query("""
 with n as (select doc_id, text, case when length(text) <= 450 then 0 else ceil((length(text) - 450) / 350.0) end::int as last from documents where length(text) >= 50),
 pieces as (select doc_id, i as chunk_index, regexp_replace(substr(text, i * 350 + 1, 450), '^\\s+|\\s+$', '', 'g') as chunk, last from n, lateral (select unnest(range(last + 1)) as i))
@@ -555,12 +576,20 @@ def tombstone(spark, d):
     return ledger.tombstones(ledger_diff(spark, d).where("status = 'deleted'"), _stored(spark, d))
 
 
-@query("select doc_id as rel_path, source as top_folder, case when doc_id = 1 then 'codes' when source in ('src0', 'src3', 'src5') then 'team_' || source else 'default' end as collection, case when doc_id = 1 then 1200 else 0 end as chunk_size, case when doc_id = 1 then 200 else 0 end as overlap from documents")
+@query("""
+with routes as (select source as top_folder, 'team_' || source as collection from documents where lang = 'de' and source is not null group by source having count(*) % 2 = 0),
+rules as (select doc_id, 'codes' as collection from labels where toxic = 1 group by doc_id)
+select d.doc_id as rel_path, source as top_folder, coalesce(u.collection, r.collection, 'default') as collection,
+  case when u.doc_id is null then 0 else 1200 end as chunk_size, case when u.doc_id is null then 0 else 200 end as overlap
+from documents d left join rules u using (doc_id) left join routes r on d.source = r.top_folder""")
 def route_files(spark, d):
-    files = _read(spark, d, "documents").select(F.col("doc_id").alias("rel_path"), F.col("source").alias("top_folder"))
-    routes = spark.createDataFrame([(s, f"team_{s}") for s in ("src0", "src3", "src5")], "top_folder string, collection string")
-    rules = spark.createDataFrame([(1, "codes", 1200, 200)], "match long, collection string, chunk_size int, overlap int")
-    routed = ledger.route(files, routes, rules, "default")
+    """Rules for the files that labels mark, routes for the folders with an even number of German files."""
+    docs = _read(spark, d, "documents")
+    files = docs.select(F.col("doc_id").alias("rel_path"), F.col("source").alias("top_folder"))
+    routes = docs.where("lang = 'de' and source is not null").groupBy(F.col("source").alias("top_folder")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
+    rules = _read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("match")).distinct()
+    rules = rules.select("match", F.lit("codes").alias("collection"), F.lit(1200).alias("chunk_size"), F.lit(200).alias("overlap"))
+    routed = ledger.route(files, routes.select("top_folder", F.concat(F.lit("team_"), "top_folder").alias("collection")), rules, "default")
     return routed.select("rel_path", "top_folder", "collection", F.coalesce("chunk_size", F.lit(0)).alias("chunk_size"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
@@ -729,6 +758,19 @@ def ferment_report(spark, d):
     return ferment.report(_reconciled(spark, d))
 
 
+@query(f"""with {_STORE}, g as ({ORACLE_SQL['graph_stats'].split(' ', 1)[1].removeprefix(_LINKS)}),
+r as (select count(*) filter (action = 'created') as stubs, count(*) filter (action = 'updated' and enrichment_level > previous_level and enrichment_level >= 1) as basic, count(*) filter (action = 'updated' and enrichment_level >= 2 and previous_level < 2) as whole, count(*) as pages from pages_now),
+gone as (select count(*) as removed from pages_now where enrichment_level = 0 and floor((epoch_us(timestamp '2024-03-01') - epoch_us(last_seen)) / 86400000000)::bigint > 30)
+select concat_ws(' | ', '总计 ' || pages || ' 个概念页面', '图谱: ' || concepts || ' 概念, ' || edges || ' 边, 平均 ' || printf('%.1f', avg_mentions) || ' 次引用', case when stubs > 0 then '新建 ' || stubs || ' 个 stub 页面' end,
+  case when basic + whole > 0 then '升级: ' || concat_ws(', ', case when basic > 0 then 'basic=' || basic end, case when whole > 0 then 'full=' || whole end) end, case when removed > 0 then '清理 ' || removed || ' 个孤立概念' end) as summary
+from r, g, gone""")
+def night_summary(spark, d):
+    pages = _reconciled(spark, d)
+    removed = ferment.stale_stubs(pages, F.lit("2024-03-01").cast("timestamp")).agg(F.count(F.lit(1)).alias("removed"))
+    told = ferment.report(pages).crossJoin(graph_stats(spark, d)).crossJoin(removed)  # one row each
+    return ferment.diff_summary(told.withColumn("enriched_basic", F.lit(0)).withColumn("enriched_full", F.lit(0)))
+
+
 @query(f"with {_STORE} select concept_id, concept_name, mention_count, enrichment_level as current_level, case when mention_count >= 8 then 2 when mention_count >= 3 then 1 else 0 end as target_level from pages_now where needs_review")
 def enrichment_queue(spark, d):
     return ferment.enrichment_queue(_reconciled(spark, d))
@@ -744,9 +786,9 @@ def level_distribution(spark, d):
     return ferment.level_distribution(_reconciled(spark, d))
 
 
-# A label of the embeddings is a concept; its lowest vector asks, documents give text and source.
+# Every twentieth vector asks as a concept, documents give text and source.
 _EVIDENCE = """
-firsts as (select label as concept, min(vec_id) as q from embeddings group by label),
+firsts as (select vec_id as concept, vec_id as q from embeddings where vec_id % 20 = 0),
 near as (
   select concept, c.vec_id as id, round(1 - list_dot_product(q.embedding::double[], c.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(c.embedding::double[], c.embedding::double[]))), 6) + 0.0 as distance
   from firsts join embeddings q on q.vec_id = q, embeddings c),
@@ -755,9 +797,7 @@ evidence as (select t.*, source, text, round(greatest(0, 1 - distance / 2), 6) a
 
 
 def _evidence(spark, d, full: bool):
-    e = _read(spark, d, "embeddings")
-    firsts = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").cast("long").alias("query_id"), "vector")
-    top = retrieval.dense_topk(firsts, _dense_corpus(spark, d), 10 if full else 5).withColumnRenamed("query_id", "concept")
+    top = retrieval.dense_topk(_dense_queries(spark, d), _dense_corpus(spark, d), 10 if full else 5).withColumnRenamed("query_id", "concept")
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     return ferment.evidence(top.join(docs, "id"), full)
 
@@ -907,20 +947,71 @@ def health_score(spark, d):
     return counts.withColumn("health", analytics.health_score(F.col("expired"), F.col("dead"), F.col("gaps")))
 
 
+def _rolled(spark, d):
+    """Orders as chunks, rolled up in one run for each kind."""
+    rows, path = _orders(spark, d), tables.passing_folder(spark, "rollups")
+    for run, some in (("finished", rows.where("type = 'F'")), ("other", rows.where("type <> 'F' or type is null"))):
+        rollups.write(some, path, run)
+    return rollups.read(spark, path), rows
+
+
+@query(ORACLE_SQL["kb_stats"])
+def rolled_stats(spark, d):
+    return rollups.stats(_rolled(spark, d)[0])
+
+
+@query(ORACLE_SQL["expired_sources"])
+def rolled_expired(spark, d):
+    found = rollups.expired(*_rolled(spark, d), _now())
+    return found.withColumn("source", F.col("source").cast("long"))
+
+
+@query(ORACLE_SQL["recent_additions"])
+def rolled_recent(spark, d):
+    return rollups.recent(*_rolled(spark, d), _now()).withColumn("source", F.col("source").cast("long"))
+
+
+@query(ORACLE_SQL["today_week_stats"])
+def rolled_today_week(spark, d):
+    return rollups.today_and_week(*_rolled(spark, d), _now())
+
+
+@query(f"""with h as ({ORACLE_SQL['health_score']})
+select concat_ws(' | ', '知识库共 ' || (select count(*) from orders) || ' 条记录', case when expired > 0 then expired || ' 个来源已过期' end, case when dead > 0 then dead || ' 个死链接' end, case when gaps > 0 then gaps || ' 个文档存在碎片缺失' end,
+  case when expired + dead + gaps = 0 then '一切正常!' end) as summary from h""")
+def health_summary(spark, d):
+    return analytics.health_summary(health_score(spark, d).crossJoin(_orders(spark, d).agg(F.count(F.lit(1)).alias("total"))))
+
+
+@query("""with p as (select event_type as agent, value is null as failed, case when value >= 10 then 200 else 503 end as code from events where event_type is distinct from 'view')
+select case when count(*) filter (failed or code <> 200) > 0 then 'warn' else 'pass' end as status, count(*) as checked, count(*) filter (not failed and code <> 200) as warned, count(*) filter (failed) as failed from p""")
+def dependency_health(spark, d):
+    """Events as probes of the services that they name; views aren't required."""
+    code = F.when(F.col("value") >= 10, 200).otherwise(503)
+    probes = _read(spark, d, "events").select((~F.col("event_type").eqNullSafe(F.lit("view"))).alias("required"), F.when(F.col("value").isNotNull(), code).alias("code"), F.lit(None).cast("string").alias("error"))
+    return analytics.dependency_health(probes)
+
+
 @query("select count(*) as total, count(*) filter (l.doc_id is not null and d.source <> 'src1') as complete, count(*) filter (l.doc_id is null) as missing_sparse, count(*) filter (d.source = 'src1') as missing_colbert from documents d left join labels l using (doc_id)")
 def vector_completeness(spark, d):
     rows = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id", "left")
     return analytics.completeness(rows.select(F.col("quality").alias("sparse"), F.when(F.col("source") != "src1", F.lit(1)).alias("colbert")), "sparse", "colbert")
 
 
-@query(f"select d.doc_id, l.doc_id is null as filled, len(list_distinct({_tokens('text')})) as n_entries from documents d left join labels l using (doc_id)")
+@query(f"""
+with held as (select doc_id, max(quality) as quality from labels group by doc_id)
+select d.doc_id, h.doc_id is null or quality = 0 as filled, case when h.doc_id is null then len(list_distinct({_tokens('text')})) else 1 end as n_entries,
+  case when h.doc_id is null or quality = 0 then len({_tokens('text')}) else 1 end as n_tokens
+from documents d left join held h using (doc_id)""")
 def backfill(spark, d):
-    sparse = tx.hybrid_metadata(F.col("text"))["sparse_lexicon"]
-    entries = F.size(F.map_keys(F.from_json(sparse, "map<string,double>")))
-    # counted before the join, so that no text is shuffled
-    counted = _read(spark, d, "documents").select("doc_id", entries.cast("long").alias("n_entries"))
-    known = _read(spark, d, "labels").select("doc_id", F.lit(True).alias("known"))
-    return counted.join(known, "doc_id", "left").select("doc_id", F.col("known").isNull().alias("filled"), "n_entries")
+    """Rows with a label have a lexicon, those of good quality their tokens as well; the rest is filled."""
+    held = _read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(True).alias("known"))
+    rows = _read(spark, d, "documents").select("doc_id", "text").join(held, "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.when(F.col("known"), F.lit('{"old":1.0}')).alias("sparse_lexicon"), F.when(F.col("quality") != 0, F.lit('[{"token":"old"}]')).alias("colbert_tokens"))
+    rows = rows.withColumn("filled", F.col("sparse_lexicon").isNull() | F.col("colbert_tokens").isNull())
+    full = retrieval.backfill(rows)
+    entries, tokens = F.size(F.map_keys(F.from_json("sparse_lexicon", "map<string,double>"))), F.size(F.from_json("colbert_tokens", "array<struct<token:string>>"))
+    return full.select("doc_id", "filled", entries.cast("long").alias("n_entries"), tokens.cast("long").alias("n_tokens"))
 
 
 @query("select conv_id, row_number() over (partition by conv_id order by turn, role, text) as seq, turn, role, left(md5(text), 8) as source_hash from conversations")

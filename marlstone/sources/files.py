@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import schemas
+from marlstone.sources import tables
 
 # fixed values: folders that hold no notes, and marks of conflicting copies
 HIDDEN = (".obsidian", ".trash", ".git", ".smart-env")
@@ -112,6 +113,32 @@ def merged(*scans: DataFrame) -> DataFrame:
     return out.dropDuplicates(["rel_path"])
 
 
+def scan_typed(spark: SparkSession, folders: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """Files of several folders with their ``type``: ``{type: (folder, extensions)}``; a folder that doesn't exist is left out."""
+    found = None
+    for kind, (folder, extensions) in folders.items():
+        if tables.exists(spark, folder):
+            rows = scan_folder(spark, folder, extensions, recursive=False).withColumn("type", F.lit(kind))
+            found = rows if found is None else found.unionByName(rows)
+    return found if found is not None else spark.createDataFrame([], "rel_path string, top_folder string, name string, sha256 string, mtime double, size long, content binary, extension string, type string")
+
+
+LEAST_BODY = 20
+
+
+def scan_migration(spark: SparkSession, root: str) -> DataFrame:
+    """Notes to migrate: ``rel_path, sha256, meta, body, wikilinks`` of those with more than ``LEAST_BODY`` characters besides front matter and blanks.
+
+    ``wikilinks`` are the raw insides of all double brackets, in order, repeats included.
+    """
+    from marlstone.functions import text as tx
+
+    rows = scan_notes(spark, root)
+    body = F.regexp_replace(tx.body(F.col("text")), r"(?U)^\s+|\s+$", "")
+    inside = F.regexp_extract_all("text", F.lit(r"\[\[([^\]]++)\]\]"), F.lit(1))
+    return rows.select("rel_path", "sha256", tx.front_matter(F.col("text")).alias("meta"), body.alias("body"), inside.alias("wikilinks")).where(F.length("body") > LEAST_BODY)
+
+
 def scan_inbox(spark: SparkSession, root: str, least: int = 20) -> DataFrame:
     """Markdown and text files whose body, without front matter, has at least so many characters."""
     from marlstone.functions import text as tx
