@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS, THRESHOLD = 20_000, 0.3
-TREES, DEPTH, PENALTIES = 32, 4, (0.01, 0.003, 0.001)
+TREES, DEPTH, PENALTIES = 20, 3, (0.01, 0.003, 0.001)
 
 STATISTICS = (
     "log_words", "word_length", "long_words", "short_words", "distinct_words", "distinct_runs", "commonest_word", "letters", "capitals", "upper_words", "digits", "marks", "doubled_marks",
@@ -147,10 +147,8 @@ class RuleEnsemble:
         """The score as one column expression."""
         if not self.rules:
             return F.lit(float(self.constant))
-        total = F.lit(self.intercept)
-        for rule, weight in self.rules:
-            total = total + F.when(condition(rule, statistics), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+        held = F.array(*[F.when(condition(rule, statistics), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in self.rules])  # an array: Spark compiles it in pieces
+        return 1 / (1 + F.exp(-F.aggregate(held, F.lit(self.intercept), lambda total, x: total + x)))
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add ``score`` (0 to 1) and ``predicted`` (1 from the threshold on), replacing columns of these names."""
@@ -197,7 +195,7 @@ def train(df: DataFrame, labels: DataFrame, scratch, key: str = "doc_id", text:
     fitting, choice = held.where("fold < 9").cache(), held.where("fold = 9")
     best = None
     for penalty in PENALTIES:
-        learner = LogisticRegression(labelCol="label", featuresCol="rules", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False)
+        learner = LogisticRegression(labelCol="label", featuresCol="rules", elasticNetParam=1.0, regParam=penalty, maxIter=40, standardization=False)
         fitted = learner.fit(fitting)
         loss = fitted.transform(choice).select("label", vector_to_array("probability")[1].alias("p")).agg(F.avg(-F.log(F.greatest(F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(1e-12))))).first()[0]
         if best is None or (loss is not None and loss < best[0]):
