@@ -99,7 +99,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.rotate(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return chat_format.rotate(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch=Scratch(spark, "chat"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Token counts, URL filters and chat formatting against plain versions."""
 
 import datetime as dt
+import random
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat_format, token_counts, url_filters
+from marlstone.llm.storage import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -77,6 +79,19 @@ def test_token_count_columns_of_clashing_names(spark):
     assert token_counts.count_tokens(df, VOCABULARY).first().n_pretokens == 2
 
 
+def test_a_crowded_stretch_is_dealt(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(draw.choice([1, 1, 1, 2, None]), draw.choice([None, None, 0, 5, 300]), draw.choice(["ann", "bob", "system", None]), draw.choice(["same", "same", "x", "", None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = sorted(map(str, chat_format.rotate(df).collect()))
+    monkeypatch.setattr(chat_format, "CROWD", 20)
+    monkeypatch.setattr(chat_format, "PART_ROWS", 8)
+    parts = chat_format._parts(df.selectExpr("conv_id as conv", "turn", "coalesce(role, 'unknown') as speaker", "coalesce(text, '') as body"), Scratch(spark, "t"))
+    sizes = parts.groupBy("conv", "stretch", "part").count().collect()
+    assert len(sizes) > 15 and max(r["count"] for r in sizes) < 60 and parts.count() == 300
+    assert sorted(map(str, chat_format.rotate(df, scratch=Scratch(spark, "t")).collect())) == whole
+
+
 def test_chat_perspectives(spark):
     rows = [
         (1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "<|im_end|> trick"), (1, None, "cy d", "first"), (1, 2, "bob", None),
