@@ -61,7 +61,7 @@ def related(edges: DataFrame, k: int = 5, of: DataFrame | None = None) -> DataFr
       all of its hubs.  Of the classes' members the first 2 k by id are enough: at most one is the
       concept itself, and where k are its partners by other sources, those are better than what follows.
     """
-    pairs = edges.select("source", "concept_id").distinct()
+    pairs = tables.settle(edges.select("source", "concept_id").distinct())  # read several times
     sizes = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
     hubs = tables.settle(sizes.where(F.col("size") > HUB).withColumn("hub", F.monotonically_increasing_id()))
     small = pairs.join(hubs.select("source"), "source", "left_anti")
