@@ -2,13 +2,16 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marlstone.functions import chunk
 from marlstone.functions import text as tx
 from marlstone.operators import retrieval
+from marlstone.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 
@@ -107,3 +110,79 @@ def test_some_rows_are_compared(spark, name):
 def test_joins_beyond_the_broadcast_bounds(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval, "BROADCAST_TOKENS", 16)
     like_sql(spark, name)
+
+
+def _plain_recursive(text, size=450, overlap=100, least=50):
+    """The recursive chunker as a recursion over one piece and one separator at a time."""
+
+    def cut(piece, level):
+        if len(piece) <= size:
+            return [piece]
+        if level == len(chunk.SEPARATORS):
+            return [piece[i : i + size] for i in range(0, max(1, len(piece) - overlap), size - overlap)]
+        glue = chunk.SEPARATORS[level]
+        if glue not in piece:
+            return cut(piece, level + 1)
+        out, held = [], ""
+        for part in [p.strip() for p in piece.split(glue) if p.strip()]:
+            longer = held + glue + part if held else part
+            if held and len(longer) > size:
+                out, held = [*out, held], part
+            else:
+                held = longer
+        return [c for p in ([*out, held] if held else out) for c in cut(p, level + 1)]
+
+    if not text or len(text) < least:
+        return []
+    if len(text) <= size:
+        return [text]
+    merged = []
+    for piece in cut(text, 0):
+        if merged and len(merged[-1]) < 0.8 * size:
+            merged[-1] += "\n\n" + piece
+        else:
+            merged.append(piece)
+    return merged
+
+
+def _plain_headings(text, size=450, overlap=100):
+    """The heading chunker line by line, with the headings that hold kept as it goes."""
+    body = (text or "").strip()
+    if not body:
+        return []
+    if len(body) < chunk.WHOLE_NOTE:
+        return [(chunk.WHOLE, body)]
+    first = second = ""
+    parts, path, lines = [], chunk.PREFACE, []
+    for line in body.splitlines():
+        found = re.fullmatch(r"(#{1,6})\s+(.*?)\s*", line)
+        if found and len(found[1]) == 1:
+            first, second = found[2].strip(), ""
+        elif found and len(found[1]) == 2:
+            second = found[2].strip()
+        if found and len(found[1]) in (2, 3):
+            parts.append((path, "\n".join(lines).strip()))
+            path, lines = "/".join(p for p in (first, second) if p) or chunk.UNNAMED, []
+        lines.append(line)
+    parts.append((path, "\n".join(lines).strip()))
+    out = []
+    for path, part in parts:
+        pieces = [part] if len(part) <= size else [part[i : i + size].strip() for i in range(0, max(1, len(part) - overlap), size - overlap)]
+        out += [(path, p) for p in pieces if p]
+    return out
+
+
+def test_chunkers_over_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {}
+    for r in catalogue.QUERIES["chunk_recursive"](spark, "/root/testdata/sf0.01").orderBy("chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert got == {d: c for d, t in docs if (c := _plain_recursive(t))}
+    got = {}
+    for r in catalogue.QUERIES["chunk_headings"](spark, "/root/testdata/sf0.01").orderBy("seq").collect():
+        got.setdefault(r.doc_id, []).append((r.heading_path, r.text))
+    marked = {d: f"# T{d}\n{t[:300]}\n## S\n{t}\n### D\n{t[-400:]}" for d, t in docs if t is not None}
+    assert got == {d: c for d, t in marked.items() if (c := _plain_headings(t))}
+    for _, text in docs:
+        marked = re.sub(r"\n", lambda m, n=iter(range(10**6)): ("\n# A", "\n## B", "\n### C", "\n")[next(n) % 4] + "x\n", text or "")
+        assert chunk.note_chunks(marked) == _plain_headings(marked)
