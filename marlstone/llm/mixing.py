@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.storage import Scratch
+
 WEIGHTS = (3.0, 1.0, 2.0)
 GROUP_ROWS = 2048
 FAN_IN = 64
@@ -36,31 +38,46 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """Targets of sources (``source, source_size``): ``share`` of all words by repeating weights.
+def _sums_before(rows: DataFrame, order: Sequence[Column], columns: Sequence[str], scratch, name: str) -> DataFrame:
+    """Add ``<column>_before``: the column's sum over all earlier rows of one global order without ties.
+
+    Rows are dealt in ranges of the order and written; a range adds what the ranges before it
+    hold.  Only those sums, one row for each range, meet in one task.
+    """
+    dealt = scratch.keep(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    earlier = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(F.col("range").alias("r")).agg(*[F.sum(c).alias(c) for c in columns])
+    totals = totals.select("r", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_ranges") for c in columns])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"{c}_within") for c in columns])
+    # no more ranges than shuffle partitions
+    found = dealt.join(F.broadcast(totals), F.col("range") == F.col("r"))
+    return found.select(*rows.columns, *[(F.col(f"{c}_ranges") + F.col(f"{c}_within")).alias(f"{c}_before") for c in columns])
+
+
+def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float, scratch=None) -> DataFrame:
+    """Add ``target`` to sources (``source, source_size``): ``share`` of all words by repeating weights.
 
     A target stops at ``most`` times its source's size and the excess goes to the others by
     weight.  Sources that reach their cap are the first ones in order of cap per weight, so
     one pass over running sums finds the level at which the rest settles.  There is one row
-    per source here, not per document.
+    per source here, not per document; running sums are taken range by range, so sources may
+    be as many as hosts.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    rows = (
-        rows.withColumn("all_words", F.sum("source_size").over(whole) * F.lit(float(share)))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("loose", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("all_words") - F.col("capped")) / F.col("loose"))
-    )
+    scratch = scratch or Scratch(sizes.sparkSession, "targets")
+    name, columns = F.col("source").asc_nulls_last(), sizes.columns
+    rows = _sums_before(sizes.withColumn("one", F.lit(1)), [name], ["one"], scratch, "by_name")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("one_before") % len(weights) + 1).cast("int"))
+    rows = rows.select(*columns, weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    rows = rows.withColumn("per_weight", F.col("cap") / F.col("weight"))
+    rows = scratch.keep(_sums_before(rows, [F.col("per_weight"), name], ["cap", "weight"], scratch, "by_level"), "levels")
+    words, all_weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(share) * (words or 0)) - F.col("cap_before")) / (F.lit(all_weight or 0.0) - F.col("weight_before"))
     # the final level is that of the first source which stays below its cap
-    settled = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)
-    level = F.coalesce(settled["level"], F.lit(float("inf")))
-    return rows.select("source", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
+    below = rows.select("per_weight", "cap", "weight", level.alias("level")).where(F.col("level") * F.col("weight") <= F.col("cap"))
+    settled = below.agg(F.min(F.struct("per_weight", "level")).alias("first")).first()["first"]
+    final = F.lit(float("inf") if settled is None else settled["level"])
+    return rows.select(*columns, F.least(F.col("cap"), final * F.col("weight")).alias("target"))
 
 
 def _unit(*parts: object) -> float:
@@ -136,9 +153,7 @@ def mix(
     base = scratch.keep(df.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keep), "sizes")
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     per_source = scratch.keep(per_source, "per_source")
-    targets = source_targets(per_source.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "name")
-    targets = targets.join(per_source.select(F.col("source").alias("name2"), "docs"), F.col("name").eqNullSafe(F.col("name2"))).drop("name2")
-    targets = scratch.keep(targets.coalesce(1), "targets")
+    targets = scratch.keep(source_targets(per_source, weights, share, most, scratch).withColumnRenamed("source", "name"), "targets")
     deepest = per_source.agg(F.max("docs")).first()[0] or 0
 
     rows = base.join(targets, F.col("source").eqNullSafe(F.col("name")))
