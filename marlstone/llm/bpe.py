@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.memo import Memo
+from marlstone.llm.memo import Memo, of_worker
 
 _NONE = np.int32(2**31 - 1)
 _BLOCK_SYMBOLS = 64
@@ -238,16 +238,9 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def _tokenizer(description: bytes) -> WordBpe:
     """The worker's tokenizer for a description; it and its memo serve later tasks too."""
-    key = hashlib.sha256(description).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordBpe(description)
-    return _loaded[key]
+    return of_worker(("bpe", hashlib.sha256(description).hexdigest()), lambda: WordBpe(description))
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -280,3 +273,25 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "dec
             yield pd.Series([bpe.decode(x or b"") for x in rows], dtype=object)
 
     return df.withColumn(out, run(F.col(ids)))
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass, which takes one worker for each task instead of two.
+
+    Columns already named like the outputs are replaced.
+    """
+    with open(tokenizer_path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _tokenizer(shared.value)
+        for texts in batches:
+            coded = list(bpe.encode_batch(texts.tolist()))
+            yield pd.DataFrame({"ids": coded, "decoded": list(map(bpe.decode, coded))}, dtype=object)
+
+    kept, both = [c for c in df.columns if c not in (ids, out)], "_coded"
+    while both in map(str.lower, kept):
+        both += "_"
+    rows = df.select(*kept, run(F.col(text)).alias(both))
+    return rows.select(*kept, F.col(f"{both}.ids").alias(ids), F.col(f"{both}.decoded").alias(out))

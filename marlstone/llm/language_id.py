@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.memo import of_worker
 from marlstone.llm.storage import Scratch
 
 UNDETERMINED = "und"
@@ -171,6 +172,7 @@ def identify(df: DataFrame, profiles: DataFrame, text: str = "text", size: int =
 
         @F.pandas_udf("lang string, near double, next double")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            of_worker("language_id")
             model = Profiles(*shared.value)
             for texts in batches:
                 yield pd.DataFrame([model.nearest(x) for x in texts], columns=["lang", "near", "next"])

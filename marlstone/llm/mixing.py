@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.memo import of_worker
 from marlstone.llm.storage import Scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -120,6 +121,7 @@ def _rounding(seed: int, last: bool):
     """One level of the tree: rounds a group and marks what is left open."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of_worker("mixing")
         # large documents first, so that what stays open in the end is small
         rows = rows.sort_values(["size", "draw", "key"], ascending=[False, True, True], kind="stable", ignore_index=True)
         p, left = pivot(rows["key"].tolist(), rows["size"].to_numpy(float), rows["fraction"].to_numpy(), seed)

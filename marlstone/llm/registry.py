@@ -46,7 +46,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path)
+    coded = bpe.round_trip(docs, path)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

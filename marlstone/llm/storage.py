@@ -32,10 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
 def prepare(spark: SparkSession) -> None:
     """Session settings that the operators rely on for bounded memory and disk.
 
-    Arrow batches are kept small because one row may hold a very long text, and shuffle
-    files are removed as soon as the execution that wrote them has ended.
+    Arrow batches are kept small, by rows and by bytes, because one row may hold a very long text,
+    and shuffle files are removed as soon as the execution that wrote them has ended.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

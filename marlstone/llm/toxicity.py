@@ -27,6 +27,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.memo import of_worker
+
 MAX_ROWS = 20_000
 LEXICON_SIZE = 2_000
 STEM = 4
@@ -189,6 +191,7 @@ def add_features(df: DataFrame, lexicon: list[tuple[str, str, float]], text: str
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of_worker("toxicity")
         writing = Writing(*({e: odds for s, e, odds in shared.value if s == species} for species in LEXICON_SPECIES))
         for texts in batches:
             yield pd.DataFrame([writing.features(t) for t in texts], columns=list(FEATURES), dtype=float)

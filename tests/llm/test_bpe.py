@@ -5,9 +5,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm import bpe
+from marlstone.llm import bpe, memo
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = "aAbBéÉßΣσςİıǅ\x00\x1c\x85​ 　 'sTREvem 0123٣½Ⅷ漢字かなé😀👍🏽�_-.,!?\t\n\r\x0b\x0c"
@@ -58,3 +59,23 @@ def test_frames(spark):
     out = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert {(r.doc_id, r.decoded) for r in out} == {(1, "hello</w> world</w>"), (2, ""), (3, "")} and len(out) == 4
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_round_trip_in_one_pass(spark):
+    """The same as encode and then decode, with nulls, empty texts, repeats and clashing names."""
+    rows = [(1, "Hello, World! naïve <|endoftext|> 日本語", "a"), (2, None, "b"), (3, "", "c"), (1, "Hello, World!", "d"), (None, "x" * 5_000, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _Coded string").withColumn("ids", F.lit(7)).withColumn("decoded", F.lit("old"))
+    got = bpe.round_trip(df, PATH)
+    want = bpe.decode(bpe.encode(df, PATH), PATH)
+    assert sorted(got.columns) == sorted(want.columns)
+    take = lambda rs: sorted((r._Coded, r.doc_id or -1, bytes(r.ids), r.decoded) for r in rs)
+    assert take(got.collect()) == take(want.collect())
+    assert bpe.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_a_worker_keeps_one_operators_models():
+    made = []
+    one = memo.of_worker("one", lambda: made.append(1) or "first")
+    assert memo.of_worker("one", lambda: made.append(2)) == one == "first" and made == [1]
+    memo.of_worker("two")
+    assert memo.of_worker("one", lambda: "again") == "again" and list(memo._kept) == ["one"]
