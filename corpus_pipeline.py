@@ -76,7 +76,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, with what they decode to, as counts and digests."""
     prepare(spark)
     path = vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return coded.select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), "ids",
