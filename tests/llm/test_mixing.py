@@ -74,3 +74,24 @@ def test_empty(spark):
     assert mixing.mix(df, scratch=Scratch(spark, "t")).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r.taken) for r in mixing.mix(blank, scratch=Scratch(spark, "t")).collect()} == {(1, 0), (2, 0)}
+
+
+def test_targets_of_many_sources(spark):
+    """As many sources as a crawl has hosts: ranges of the order meet only by their sums, ties of size included."""
+    draw = np.random.default_rng(5)
+    sizes = {f"host{i:04d}": int(draw.zipf(1.5)) % 100_000 for i in range(3_000)} | {None: 12, "": 0, "z": 900_000}
+    rows = [(k, v, 1) for k, v in sizes.items()]
+    df = spark.createDataFrame(rows, "source string, source_size long, docs long").repartition(6)
+    scratch = Scratch(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges of so small a table would be one
+    try:
+        found = mixing.source_targets(df, (3, 1, 2), 1.5, 2.0, scratch)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.source: (r.target, r.docs) for r in found.collect()}
+    want = water_fill(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k]) <= 1e-6 * want[k] and got[k][1] == 1 for k in want)
+    for name in ("by_name", "by_level"):  # no range holds most of the sources
+        held = spark.read.parquet(f"{scratch.root}/{name}").groupBy("range").count().collect()
+        assert len(held) > 1 and max(r["count"] for r in held) < 0.7 * len(sizes)
+    assert mixing.source_targets(df.limit(0), (3, 1, 2), 1.5, 2.0, scratch=Scratch(spark, "t")).count() == 0
