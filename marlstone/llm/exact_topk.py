@@ -174,7 +174,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, scratch, key: str = "vec_id",
     # the first shard of every query, then all others with the score that it has found
     numbered = places.groupBy("width").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
     home = F.element_at("shards", (F.pmod(F.xxhash64("id"), F.size("shards")) + 1).cast("int"))
-    asked = asked.join(numbered, "width").withColumn("home", home)
+    asked = asked.join(numbered, "width").withColumn("home", home).drop("shards")
     first = asked.select("width", F.col("home").alias("shard"), "id", "vector", F.lit(0).cast("long").alias("kth"), F.lit(True).alias("open")).select(*columns)
     first = scratch.keep(vectors.meet(stored, first, shards, _load, _answer(k), schema), "first")
     if shards <= 1:
@@ -182,6 +182,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, scratch, key: str = "vec_id",
     kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("score"))
     rest = asked.join(kth, asked["id"] == kth["query_id"], "left").withColumn("open", F.coalesce(F.col("found") < k, F.lit(True)))
     rest = rest.withColumn("kth", F.when(~F.col("open"), F.col("score")).otherwise(F.lit(0).cast("long")))
-    rest = rest.withColumn("shard", F.explode("shards")).where("shard <> home").select(*columns)
+    # the list of shards joins last: no query is shuffled with it
+    rest = rest.join(numbered, "width").withColumn("shard", F.explode("shards")).where("shard <> home").select(*columns)
     others = vectors.meet(stored, rest, shards, _load, _answer(k), schema)
     return vectors.nearest(first.unionByName(others), k)
