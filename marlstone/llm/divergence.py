@@ -146,7 +146,8 @@ def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
         tiles[int(row.tile != row.one)].append(_Group(row))
     for i, a in enumerate(tiles[0]):
         for b in tiles[1] if first["one"] != first["two"] else tiles[0][i + 1 :]:
-            out.append((first["lang"], a.source, b.source, difference(a, b, int(first["terms"]))))
+            one, two = sorted((a.source, b.source))  # rows come in any order, but a pair has one name in all blocks
+            out.append((first["lang"], one, two, difference(a, b, int(first["terms"]))))
     return pd.DataFrame(out, columns=["lang", "a", "b", "value"])
 
 

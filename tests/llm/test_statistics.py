@@ -137,6 +137,22 @@ def test_audit_of_sources(spark, monkeypatch):
     assert divergence.audit(df.limit(0), Scratch(spark, "d")).count() == 0
 
 
+def test_a_pair_has_one_value_in_whatever_order_its_blocks_come(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", 64)
+    draw = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(" ".join(draw.choices(words, k=40)), "en", f"s{draw.randrange(12)}") for _ in range(200)]
+    bound, joined = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(bound, "-1")  # sources are dealt by block, as in larger tables
+    spark.conf.set(joined, "false")
+    try:
+        got = [tuple(r) for r in divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string"), Scratch(spark, "d"), support=5, top=20).collect()]
+    finally:
+        spark.conf.unset(bound)
+        spark.conf.unset(joined)
+    assert len(got) == len(set(got)) and set(got) == plain_audit(rows, 5, 20)
+
+
 def test_joint_cells_and_terms():
     draw = np.random.default_rng(5)
     a, b = draw.integers(0, 2, (5, 128), np.uint8), draw.integers(0, 2, (3, 128), np.uint8)
