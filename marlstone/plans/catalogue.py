@@ -17,7 +17,7 @@ from marlstone.functions import text as tx
 from marlstone.functions import vector as vec
 from marlstone.operators import analytics, ferment, fusion, graph, ledger, name_index, retrieval, rollups, sparse_index, vector_index
 from marlstone.plans import graph_store, search
-from marlstone.session import Store
+from marlstone.session import Store, bounded_batches
 from marlstone.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

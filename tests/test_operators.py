@@ -31,6 +31,31 @@ def test_dense_topk(spark, monkeypatch, bound):
     assert len(got) == 20
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_nearest_in_strips(monkeypatch, copies):
+    """Matrices of bounded size, and the results of one matrix: with copies, zeros and what isn't finite."""
+    monkeypatch.setattr(retrieval, "CELLS", 1)
+    monkeypatch.setattr(retrieval, "_WAITING", 100)
+    draw = np.random.default_rng(2)
+    x = draw.integers(-1, 2, (700, 3)).astype(float) if copies else draw.normal(size=(700, 8))
+    x[5], x[6, 1], x[7, 0], x[8], x[9] = 0, np.nan, np.inf, x[3] * 1e-160, x[4] * 1e160
+    ids, cells, widest = draw.permutation(700), [], retrieval.Best.offer
+    monkeypatch.setattr(retrieval.Best, "offer", lambda self, likeness, *a: (cells.append(likeness.size), widest(self, likeness, *a)))
+    best = retrieval.Nearest(np.arange(60), x[:60], 9)
+    for a in range(0, 700, 130):  # batches
+        best.add(ids[a : a + 130], x[a : a + 130])
+    got = best.frame()
+    assert max(cells) <= 60 * 64
+    with np.errstate(all="ignore"):
+        lengths = np.linalg.norm(x, axis=1)
+        both = lengths[:60, None] * lengths[None, :]
+        d = np.round(np.where(both > 0, 1 - np.einsum("ij,kj->ik", x[:60], x) / both, 1.0), 6) + 0.0
+    for q in range(60):
+        want = np.lexsort((ids, d[q]))[:9]
+        mine = got[got["query_id"] == q].sort_values(["distance", "id"])
+        assert mine["id"].tolist() == ids[want].tolist() and np.array_equal(mine["distance"], d[q][want], equal_nan=True)
+
+
 def test_calibrate_and_rrf(spark):
     rows = spark.createDataFrame([(1, 0.1), (1, 0.5), (1, 0.9), (2, 0.5), (2, 0.5), (3, 0.0)], "query_id long, s double")
     got = sorted((r.query_id, r.c) for r in rows.select("query_id", fusion.calibrated(F.col("s")).alias("c")).collect())
