@@ -366,6 +366,7 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 
 def _hybrid(spark, d):
     corpus = _read(spark, d, "embeddings").join(_read(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "text")
+    corpus = tables.settle(corpus.repartition(2 * spark.sparkContext.defaultParallelism, "id"))  # read by every part of a search, in parts for all cores
     return corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", "text"), corpus
 
 

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,30 @@ def test_nearest_in_strips(monkeypatch, copies):
         assert mine["id"].tolist() == ids[want].tolist() and np.array_equal(mine["distance"], d[q][want], equal_nan=True)
 
 
+@pytest.mark.parametrize("cells, normalize", [(1 << 20, True), (64, True), (64, False)])
+def test_best_by_weights_in_strips(monkeypatch, cells, normalize):
+    """Tokens that many or few queries have, copies and ties, against one document at a time."""
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "_WAITING", 50)
+    draw = random.Random(3)
+    words, odds = [f"w{i}" for i in range(400)], [1 / (i + 1) for i in range(400)]
+    queries = {q: sorted(set(draw.choices(words, odds, k=draw.randint(1, 40)))) for q in range(50)}
+    rows = pd.DataFrame([(q, t, len(ts)) for q, ts in queries.items() for t in ts], columns=["query_id", "token", "n_tokens"]).sample(frac=1, random_state=1)
+    docs = [draw.choices(words, odds, k=draw.randint(0, 60)) for _ in range(900)]
+    docs[5:40] = [docs[3]] * 35
+    ids = draw.sample(range(900), 900)
+    best = retrieval._Asked(rows, 7, normalize)
+    for i, d in zip(ids, docs, strict=True):
+        best.add(i, d)
+    got = best.frame()
+    for q, ts in queries.items():
+        sums = [(i, sum(retrieval._weight(n, len(d)) for t, n in Counter(d).items() if t in ts)) for i, d in zip(ids, docs, strict=True)]
+        score = lambda m, n=len(ts) if normalize else 1: int(np.floor(m / n + 0.5))
+        want = sorted((-score(m), i, m) for i, m in sums if score(m))[:7]
+        mine = got[got["query_id"] == q]
+        assert sorted(zip(mine["id"], mine["micros"], strict=True)) == sorted((i, m) for _, i, m in want)
+
+
 def test_calibrate_and_rrf(spark):
     rows = spark.createDataFrame([(1, 0.1), (1, 0.5), (1, 0.9), (2, 0.5), (2, 0.5), (3, 0.0)], "query_id long, s double")
     got = sorted((r.query_id, r.c) for r in rows.select("query_id", fusion.calibrated(F.col("s")).alias("c")).collect())

@@ -112,6 +112,16 @@ def test_joins_beyond_the_broadcast_bounds(spark, monkeypatch, name):
     like_sql(spark, name)
 
 
+@pytest.mark.parametrize("name", ["sparse_recall", "hybrid_fuse"])
+def test_sparse_search_by_blocks_writes_no_pairs(spark, monkeypatch, name):
+    """Each block of queries has a scan of its own, whose tasks keep their best; postings of all documents are never joined."""
+    monkeypatch.setattr(retrieval, "BROADCAST_TOKENS", 16)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(retrieval, "CELLS", 1 << 10)
+    monkeypatch.setattr(retrieval, "sparse_scores", None)
+    like_sql(spark, name)
+
+
 def _plain_recursive(text, size=450, overlap=100, least=50):
     """The recursive chunker as a recursion over one piece and one separator at a time."""
 
