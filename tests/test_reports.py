@@ -118,3 +118,16 @@ def test_odd_texts_take_no_time(spark):
     assert got == "a c e f < g"
     meta = "---\na: 1\nb: 2\na: 3\n---\n"
     assert spark.createDataFrame([(meta,)], "t string").select(tx.front_matter(F.col("t")).alias("x")).first().x == {"a": "3", "b": "2"}
+
+
+def test_features_of_all_tokens_at_once():
+    """The hashes of a text are those of its tokens one by one: each run of three to five characters once, and the token."""
+    tokens = ["banana", "ab", "日本語", "a.b-c_d", "x" * 300, "anana"]
+    together, owner = hashing.hashes(tokens)
+    for i, t in enumerate(tokens):
+        alone, _ = hashing.hashes([t])
+        assert sorted(set(together[owner == i])) == sorted(set(alone))
+        marked = f"<{t}>"
+        assert len(set(alone)) == 1 + len({marked[a : a + n] for n in (3, 4, 5) for a in range(len(marked) - n + 1)})
+    found, times = hashing.Features().counts("banana banana anana")
+    assert len(found) == len(set(found)) and sorted(set(times)) == [1, 2, 3]
